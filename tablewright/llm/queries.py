@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_sources
+from .packing import pack
 from .quality_rules import quality_rules
+from .token_counts import document_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,13 +22,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
