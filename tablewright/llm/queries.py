@@ -11,6 +11,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .token_counts import document_token_counts
 from .topk import top_k
 
@@ -63,6 +64,34 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_documents(spark, sf_dir), keep_columns=False, digest=True)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS body FROM starts
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later
+), per_word AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words
+), kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.j) AS body, count(*) AS n
+  FROM per_word p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.j = g.j WHERE g.j IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.body, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(_documents(spark, sf_dir))
 
@@ -74,9 +103,11 @@ QUERIES: dict[str, Query] = {
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op2_topk": OP2_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
