@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import language_id
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -96,6 +97,34 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(_documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_documents(spark, sf_dir))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT c.x, c.y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  ) c JOIN sizes p ON p.doc_id = c.x JOIN sizes q ON q.doc_id = c.y
+  WHERE 100 * c.k >= 80 * (p.n + q.n - c.k)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b
+), labels AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
@@ -105,9 +134,11 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_topk": OP2_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op10_near_dedup": OP10_SQL,
 }
