@@ -111,10 +111,11 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
     if frequencies is None or not frequencies[-1]:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32))
     idf = np.log((1.0 + frequencies[-1]) / (1.0 + frequencies[:-1])).astype(np.float32)
-    # a share of each language by hash, so that no task gets all rows of a common language
+    # a share of each language by hash, so that no task gets all rows of a common language; one row per
+    # language is broadcast, and the model holds several vectors of each language anyway
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") / F.lit(float(2**53))
-    sample = known.join(sizes, "lang").where(draw * F.col("n") < per_language).select("lang", "doc_id", "text")
+    sample = known.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < per_language).select("lang", "doc_id", "text")
 
     def cluster(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["doc_id"].fill_null(-1).to_numpy(),))

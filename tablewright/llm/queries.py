@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import language_id
+from .lm_scoring import lm_score
 from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .packing import pack
@@ -93,6 +94,10 @@ FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(_documents(spark, sf_dir))
 
@@ -133,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_token_counts": op9_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
