@@ -136,24 +136,29 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
     return Model([r["lang"] for r in rows], np.stack(vectors) if vectors else np.zeros((0, BUCKETS), np.float32), idf)
 
 
-def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.05) -> DataFrame:
-    """doc_id, lang_pred, score and rejected of every document.
+def identify(
+    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.05, keep_columns: bool = False,
+) -> DataFrame:
+    """lang_pred, score and rejected of every document, after its doc_id or, with ``keep_columns``, all its columns.
 
     score is the cosine to the nearest centroid, clipped to [0, 1]. Null, empty and
     letterless texts are ``und`` with score 0 and rejected; documents with a score
-    under ``reject_below`` are rejected but keep their nearest language.
+    under ``reject_below`` are rejected but keep their nearest language. Input columns
+    named like the results are replaced by them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x buckets
-    names = ["doc_id", "lang_pred", "score"]
+    made = ["lang_pred", "score", "rejected"]
+    kept = [c for c in docs.columns if c not in made] if keep_columns else [doc_id]
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__body"))
+    names = [*kept, *made[:2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(text.as_py()) for text in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
+            found = [shared.value.predict(body.as_py()) for body in column(batch, "__body")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(own.dtypes)["doc_id"]
-    found = own.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
+    found = own.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return found.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < reject_below))
 
 

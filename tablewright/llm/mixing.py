@@ -76,8 +76,8 @@ def mix_sources(
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns doc_id, size, source_size, target, taken and repeats (how often the
-    document enters the mix), one row per input row. ``quality`` gives positive
+    Returns doc_id, size, source_size, target, taken, repeats (how often the
+    document enters the mix) and key (a hash of id and text), one row per input row. ``quality`` gives positive
     sampling weights (default: ``letter_share``). A source's taken words differ
     from its target by at most half of the document at which its budget ends.
 
@@ -122,7 +122,16 @@ def mix_sources(
     edge = edge.withColumn("so_far", so_far).withColumn("chosen", F.col("so_far") - F.col("size") / 2 <= F.col("rest"))
     both = edge.drop("so_far").unionByName(inner)
     repeats = F.col("epochs") + F.col("chosen").cast("long")
-    return both.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"))
+    return both.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), F.col("tie").alias("key"))
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seed: int = 17, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mix_sources`` takes it."""
+    found = mix_sources(docs, doc_id=doc_id, text=text, seed=seed, **options)
+    times = found.groupBy(F.col("key").alias("__key")).agg(F.sum("repeats").alias("__times")).where(F.col("__times") > 0)
+    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    rows = keyed.join(times, "__key").dropDuplicates(["__key"])  # repeated rows share a key, and their repeats are summed
+    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__key", "__times", "__nth")
 
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:

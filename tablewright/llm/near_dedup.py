@@ -239,23 +239,8 @@ def _confirm_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent:
     return rows.groupBy("cluster", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def near_dedup(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, chunk: int = 256, block: int = 1024,
-) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
-
-    Two documents are linked when ``100 * |A and B| >= percent * |A or B|`` for their
-    sets of distinct ``shingle``-word shingles of the text with A-Z lower-cased; a text with
-    fewer words is one shingle. Components are the transitive closure; component_id
-    is their smallest id and ``kept`` marks the document that has it.
-
-    Null, empty and wordless texts have no shingles and are components of their own.
-    Rows with a null id link like others but give no label: a component of null ids
-    alone has component_id null, and null ids are never kept. Repeated rows share a component; each row
-    that has the component's id is kept. An empty table gives an empty
-    result. Other columns of ``docs`` are not read. ``chunk`` and ``block`` size the
-    comparisons and never change the result.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, chunk: int, block: int) -> DataFrame:
+    """rid (a hash of id and text), doc_id, n_shingles and top, the component's root class, null for no shingles."""
     spark = docs.sparkSession
     staged = Staged(spark, "near-dedup")
     own = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -282,8 +267,44 @@ def near_dedup(
 
     merged = connected_components(more, staged, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = member.join(merged, "root", "left").select("class", F.coalesce("top", "root").alias("top"))
-    of = signed.select("doc_id", "n_shingles", "class").join(final, "class", "left")
+    return signed.select("rid", "doc_id", "n_shingles", "class").join(final, "class", "left")
+
+
+def near_dedup(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, chunk: int = 256, block: int = 1024,
+) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Two documents are linked when ``100 * |A and B| >= percent * |A or B|`` for their
+    sets of distinct ``shingle``-word shingles of the text with A-Z lower-cased; a text with
+    fewer words is one shingle. Components are the transitive closure; component_id
+    is their smallest id and ``kept`` marks the document that has it.
+
+    Null, empty and wordless texts have no shingles and are components of their own.
+    Rows with a null id link like others but give no label: a component of null ids
+    alone has component_id null, and null ids are never kept. Repeated rows share a component; each row
+    that has the component's id is kept. An empty table gives an empty
+    result. Other columns of ``docs`` are not read. ``chunk`` and ``block`` size the
+    comparisons and never change the result.
+    """
+    of = _labelled(docs, doc_id, text, shingle, percent, chunk, block)
     labels = of.where(F.col("top").isNotNull()).groupBy("top").agg(F.min("doc_id").alias("least"))
     of = of.join(labels, "top", "left")
     label = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return of.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 256, block: int = 1024,
+) -> DataFrame:
+    """The rows of ``docs`` with one document of each component, that of the smallest id (null last).
+
+    Rows without words belong to no component and all stay. Of repeated rows one stays.
+    """
+    of = _labelled(docs, doc_id, text, shingle, percent, chunk, block).where(F.col("top").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
+    kept = of.groupBy("top").agg(first).select(F.col("first.rid").alias("__rid"))
+    keyed = docs.withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
+    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = keyed.where(~wordless).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"])
+    return stay.unionByName(keyed.where(wordless)).drop("__rid")
