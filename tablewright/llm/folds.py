@@ -15,27 +15,29 @@ def remainder(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def sum_vectors(parts: DataFrame, column: str, dtype: str, fan_in: int = 64) -> np.ndarray | None:
-    """Sum of the equally long vectors in a binary column, by a tree of partial sums.
+def sum_vectors(parts: DataFrame, column: str, dtype, fan_in: int = 64, add=np.add) -> np.ndarray | None:
+    """Sum (or another ``add``) of the equally long vectors in a binary column, by a tree of partial sums.
 
     ``parts`` has a few rows per partition. No task gets more than a few times
-    ``fan_in`` vectors; the driver gets one. None for an empty table.
+    ``fan_in`` vectors; the driver gets at most ``fan_in``. None for an empty table.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for raw in batch.column(0):
                 vector = np.frombuffer(raw.as_buffer(), dtype=dtype)
-                total = vector.copy() if total is None else total + vector
+                total = vector.copy() if total is None else add(total, vector)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    found = parts.select(F.col(column).alias("v")).mapInArrow(add, "v binary")  # one per partition
+    found = parts.select(F.col(column).alias("v")).mapInArrow(merge, "v binary")  # one per partition
     n = found.rdd.getNumPartitions()
     while n > fan_in:
         n = -(-n // fan_in)
-        found = found.repartition(n).mapInArrow(add, "v binary")
-    rows = found.collect()
-    vectors = [np.frombuffer(r["v"], dtype=dtype) for r in rows]
-    return np.sum(vectors, axis=0) if vectors else None
+        found = found.repartition(n).mapInArrow(merge, "v binary")
+    total = None
+    for r in found.collect():
+        vector = np.frombuffer(r["v"], dtype=dtype)
+        total = vector.copy() if total is None else add(total, vector)
+    return total

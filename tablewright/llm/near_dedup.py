@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .membership import maybe_in
 from .staging import Staged, buckets_for
 from .textcore import buffers, column, gram_hashes, mix64, slices, span_hashes, split_words
 
@@ -166,13 +167,19 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _confirm_stars(edges: DataFrame, texts: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
+def _with_texts(need: DataFrame, rids: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Add the text of a representative of each ``class``. Texts that nothing needs aren't shuffled."""
+    wanted = need.join(rids, "class")
+    return maybe_in(bodies, "rid", need.select("class").distinct().join(rids, "class"), "rid").join(wanted, "rid")
+
+
+def _confirm_stars(edges: DataFrame, rids: DataFrame, bodies: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar; a centre's members are compared in chunks."""
     sizes = edges.groupBy("b").agg(F.count("*").alias("m"))
     salted = edges.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a", F.lit(9)), F.ceil(F.col("m") / chunk)).cast("int").alias("salt"))
     centres = salted.select("b", "salt").distinct().select(F.col("b").alias("class"), "b", "salt")
     need = salted.select(F.col("a").alias("class"), "b", "salt").unionByName(centres)
-    rows = need.join(texts, "class").select("class", "b", "salt", "text")
+    rows = _with_texts(need, rids, bodies).select("class", "b", "salt", "text")
 
     def compare(group: pa.Table) -> pa.Table:
         node = group["class"].to_numpy()
@@ -190,7 +197,7 @@ def _confirm_stars(edges: DataFrame, texts: DataFrame, shingle: int, percent: in
     return rows.groupBy("b", "salt").applyInArrow(compare, "a long, b long")
 
 
-def _confirm_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+def _confirm_blocks(members: DataFrame, rids: DataFrame, bodies: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
     """Links between components inside clusters: edges (a, b) of component roots.
 
     ``members`` has cluster, class and root. A cluster is cut into blocks of about
@@ -201,7 +208,7 @@ def _confirm_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent:
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("class", F.lit(13)), F.col("blocks")).cast("int"))
     meets = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "class", "root")
-    rows = meets.join(texts, "class").select("cluster", "lo", "hi", "i", "class", "root", "text")
+    rows = _with_texts(meets, rids, bodies).select("cluster", "lo", "hi", "i", "class", "root", "text")
     floor = (percent - 16) / 100 * BINS  # over five standard deviations of the agreement below the limit
 
     def compare(group: pa.Table) -> pa.Table:
@@ -240,34 +247,41 @@ def _confirm_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent:
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, chunk: int, block: int) -> DataFrame:
-    """rid (a hash of id and text), doc_id, n_shingles and top, the component's root class, null for no shingles."""
+    """doc_id and n_shingles of every row, the component's root class ``top`` (null for no shingles) and its ``first`` row.
+
+    ``first`` has no_id, doc_id and rid, a hash of id and text. Everything between
+    the signatures and the last join is one row per class or fewer.
+    """
     spark = docs.sparkSession
     staged = Staged(spark, "near-dedup")
     own = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = staged.write(own.mapInArrow(_sign(shingle), _SIGNED.format(kind=dict(own.dtypes)["doc_id"])), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     some = signed.where(F.col("class").isNotNull())
-    classes = some.groupBy("class").agg(F.min(F.struct("rid", "bands")).alias("one"))
-    classes = staged.write(classes.select("class", "one.rid", "one.bands"), "classes")
-    texts = own.select("rid", "text").join(classes.select("class", "rid"), "rid").select("class", "text")
+    classes = some.groupBy("class").agg(F.min(F.struct("rid", "bands")).alias("one"), F.min(row).alias("first"))
+    classes = staged.write(classes.select("class", "one.rid", "one.bands", "first"), "classes")
+    rids, bodies = classes.select("class", "rid"), own.select("rid", "text")
 
     buckets = buckets_for(docs, 24.0, 24)
     stars = _star_edges(classes, buckets).groupBy("a", "b").agg(F.sum("n").alias("n"))
     stars = staged.write(stars, "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("c"))).alias("x")).select("a", (-F.col("x.c")).alias("b"))
-    links = staged.write(_confirm_stars(best, texts, shingle, percent, chunk), "links")
+    links = staged.write(_confirm_stars(best, rids, bodies, shingle, percent, chunk), "links")
     roots = staged.write(connected_components(links, staged, "first"), "roots")
 
     # candidate edges that still join two components, and the clusters of components that they form
     root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
     open_ = root_of(root_of(stars.select("a", "b"), "a"), "b").where(F.col("a") != F.col("b"))
     clusters = connected_components(open_, staged, "open").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
-    member = classes.select("class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    member = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     members = staged.write(member.join(clusters, "root").select("cluster", "class", "root"), "members")
-    more = staged.write(_confirm_blocks(members, texts, shingle, percent, block), "more-links")
+    more = staged.write(_confirm_blocks(members, rids, bodies, shingle, percent, block), "more-links")
 
     merged = connected_components(more, staged, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = member.join(merged, "root", "left").select("class", F.coalesce("top", "root").alias("top"))
-    return signed.select("rid", "doc_id", "n_shingles", "class").join(final, "class", "left")
+    final = member.join(merged, "root", "left").select("class", F.coalesce("top", "root").alias("top"), "first")
+    labels = final.groupBy("top").agg(F.min("first").alias("first"))
+    final = staged.write(final.select("class", "top").join(labels, "top"), "final")
+    return signed.select("doc_id", "n_shingles", "class").join(final, "class", "left")
 
 
 def near_dedup(
@@ -288,9 +302,7 @@ def near_dedup(
     comparisons and never change the result.
     """
     of = _labelled(docs, doc_id, text, shingle, percent, chunk, block)
-    labels = of.where(F.col("top").isNotNull()).groupBy("top").agg(F.min("doc_id").alias("least"))
-    of = of.join(labels, "top", "left")
-    label = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    label = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return of.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(False)).alias("kept"))
 
 
@@ -302,8 +314,7 @@ def drop_near_duplicates(
     Rows without words belong to no component and all stay. Of repeated rows one stays.
     """
     of = _labelled(docs, doc_id, text, shingle, percent, chunk, block).where(F.col("top").isNotNull())
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    kept = of.groupBy("top").agg(first).select(F.col("first.rid").alias("__rid"))
+    kept = of.select(F.col("first.rid").alias("__rid")).distinct()
     keyed = docs.withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
     wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     stay = keyed.where(~wordless).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"])
