@@ -1 +1,7 @@
 """Declarative table reconciliation on Spark, with relational catalog state."""
+
+from .operators.declare import SELF, Column, ForeignKey, Table
+from .operators.engine import DuplicateTable, Engine, ReadError, SyncFailed
+from .plans.report import Failure, SyncReport, TableRun
+
+__all__ = ["SELF", "Column", "DuplicateTable", "Engine", "Failure", "ForeignKey", "ReadError", "SyncFailed", "SyncReport", "Table", "TableRun"]
