@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -71,7 +73,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """64-bit hashes of ascending, disjoint byte spans. Memory is bounded by the block or the longest span."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
@@ -111,6 +113,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, np.uint8), offsets
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a reused worker would keep it otherwise."""
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each have at most ``most`` bytes, or are one text."""
     for batch in batches:
@@ -120,6 +128,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22)
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        trim()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
