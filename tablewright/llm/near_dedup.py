@@ -262,7 +262,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     classes = staged.write(classes.select("class", "one.rid", "one.bands", "first"), "classes")
     rids, bodies = classes.select("class", "rid"), own.select("rid", "text")
 
-    buckets = buckets_for(docs, 24.0, 24)
+    buckets = buckets_for(docs, text, 24.0, 24)
     stars = _star_edges(classes, buckets).groupBy("a", "b").agg(F.sum("n").alias("n"))
     stars = staged.write(stars, "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("c"))).alias("x")).select("a", (-F.col("x.c")).alias("b"))

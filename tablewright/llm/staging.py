@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -47,12 +48,17 @@ class Staged:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_gigabytes(df: DataFrame) -> float:
-    """Size of a plan's input by the optimizer's statistics (no job runs)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return min(float(str(stats.sizeInBytes())), 1e18) / 1e9
+def input_gigabytes(df: DataFrame, text: str | None = None) -> float:
+    """Size of a plan's input: of its files if it only reads files, else measured (bytes of ``text``, or rows)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    if all(x.getClass().getSimpleName() == "LogicalRelation" for x in leaves):
+        return sum(float(str(x.stats().sizeInBytes())) for x in leaves) / 1e9
+    if text is None:
+        return df.count() * 1e3 / 1e9
+    return float(df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) / 1e9
 
 
-def buckets_for(df: DataFrame, mb_each: float, least: int) -> int:
+def buckets_for(df: DataFrame, text: str, mb_each: float, least: int) -> int:
     """Number of hash buckets so that each holds about ``mb_each`` MB of the input."""
-    return max(least, int(input_gigabytes(df) * 1000 / mb_each) + 1)
+    return max(least, int(input_gigabytes(df, text) * 1000 / mb_each) + 1)

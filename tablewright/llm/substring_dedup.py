@@ -197,8 +197,8 @@ def substring_dedup(
     made = {"n_words", "n_removed", "spans", "kept_sha256", "rid", "part"}
     other = [c for c in docs.columns if keep_columns and c not in {doc_id, text} | made]
     rid = F.xxhash64(F.col(doc_id), F.col(text))
-    blocks = buckets_for(docs, 7.0, 24)
-    parts = buckets_for(docs, 7.0, 24)
+    blocks = buckets_for(docs, text, 7.0, 24)
+    parts = blocks
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 6 << 20):
