@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .declare import MAPPING, MINIMUM_SCOPE, SCOPES, TRANSITIONS, WIDENING
+from .differ import settle
 
 _ORDER = {"add": "+", "remove": "-", "change": "~"}
 
@@ -102,9 +103,9 @@ def safety_failures(diff: DataFrame, d: dict[str, DataFrame], o: dict[str, DataF
 
 def failures(diff: DataFrame, d: dict[str, DataFrame], o: dict[str, DataFrame], suppress: tuple[str, ...] = ()) -> DataFrame:
     """All failures in report order. Tables that are not eligible show eligibility failures only; ``suppress`` names safety rules to skip."""
-    first = eligibility_failures(diff, d, o)
+    first = settle(eligibility_failures(diff, d, o))
     then = safety_failures(diff, d, o).where(~F.col("rule").isin(*suppress)) if suppress else safety_failures(diff, d, o)
-    then = then.join(first.select("table_id").distinct(), "table_id", "left_anti")
+    then = settle(then).join(first.select("table_id").distinct(), "table_id", "left_anti")
     return first.withColumn("eligible", F.lit(False)).unionByName(then.withColumn("eligible", F.lit(True)))
 
 

@@ -1,0 +1 @@
+"""No operator here reads streams: streaming tables appear only as a kind of catalog relation that takes comments and tags."""
