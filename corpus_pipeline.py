@@ -31,7 +31,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier go; a document of which nothing is left goes too."""
-    found = substring_dedup(docs)
+    found = substring_dedup(docs, spans=False)
     left = found.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

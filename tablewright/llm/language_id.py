@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import remainder, sum_vectors
+from .staging import bounded_batches
 from .textcore import column
 
 BUCKETS = 1 << 14
@@ -106,6 +107,7 @@ class Model:
 
 def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed: int = 3) -> Model:
     """Learn from doc_id, text and non-null lang. ``per_language`` bounds the expected sample that centroids see."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull())
     frequencies = sum_vectors(known.select("text").mapInArrow(_document_frequencies, "v binary"), "v", "<i8")
     if frequencies is None or not frequencies[-1]:
@@ -146,6 +148,7 @@ def identify(
     under ``reject_below`` are rejected but keep their nearest language. Input columns
     named like the results are replaced by them.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x buckets
     made = ["lang_pred", "score", "rejected"]
     kept = [c for c in docs.columns if c not in made] if keep_columns else [doc_id]

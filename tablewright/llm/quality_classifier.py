@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import remainder
+from .staging import bounded_batches
 from .textcore import buffers, column, gram_hashes, mix64, slices, span_hashes, split_words
 
 WEIGHTS = 1 << 20
@@ -151,6 +152,7 @@ def quality_classifier(
     document labelled twice counts twice. Without any label all scores are 0.5.
     Repeated rows get equal scores. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label"))
     known = known.where(remainder(F.col("doc_id"), folds) != held_out)

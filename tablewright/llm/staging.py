@@ -7,6 +7,7 @@ unset (tests, notebooks) a temporary folder of this machine is taken.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep what Spark sends a Python worker at once, on both sides, near ``BATCH_BYTES``.
+
+    By default a batch has up to 10,000 rows, and long texts make that many megabytes in
+    every buffer on its way. The session's own lower limit stays.
+    """
+    now = spark.conf.get(_BATCH, None)
+    found = re.fullmatch(r"(-?\d+)b?", now) if now else None
+    if now is None or (found and not 0 < int(found[1]) <= BATCH_BYTES):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Staged:
     """Writes DataFrames below one folder and can remove each of them again."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}

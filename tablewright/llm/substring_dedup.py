@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import buckets_for
-from .textcore import buffers, column, gram_hashes, mix64, slices, span_hashes, split_words
+from .staging import bounded_batches, buckets_for
+from .textcore import buffers, column, gram_hashes, mix64, slices, span_hashes, split_words, trim
 
 _NULL_LAST = np.iinfo(np.int64).max
 
@@ -141,6 +141,7 @@ def _resolve(group: pa.Table, parts: int) -> pa.Table:
             base += docs.shape[1]
     orders, rids, anchors, doc, pos, size, windows = map(np.concatenate, (orders, rids, anchors, doc, pos, size, windows))
     if len(windows):
+        trim()
         _, rank = np.unique(orders, return_inverse=True)
         size = size.astype(np.int64)
         key = mix64(np.repeat(anchors, size) + windows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -159,8 +160,11 @@ def _resolve(group: pa.Table, parts: int) -> pa.Table:
             out_rid.append(rids[owner[hit[s]]])
             out_pos.append(place[s])
             out_size.append(n)
+        del key, at, owner, order, later
+    trim()
+    del orders, rids, anchors, doc, pos, size, windows
     rid, first, n = np.concatenate(out_rid), np.concatenate(out_pos), np.concatenate(out_size)
-    part = (mix64(rid.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    part = np.mod(rid, parts)
     order = np.argsort(part, kind="stable")
     found, begin = np.unique(part[order], return_index=True)
     ends = np.append(begin, len(order))[1:]
@@ -178,6 +182,7 @@ def _spans(first: np.ndarray, n: np.ndarray, window: int, n_words: int) -> np.nd
 
 def substring_dedup(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 8, keep_columns: bool = True, digest: bool = False,
+    spans: bool = True, block_mb: float = 3.5,
 ) -> DataFrame:
     """Remove words covered by a window of ``window`` words that also starts earlier.
 
@@ -192,16 +197,18 @@ def substring_dedup(
     count as one id; rows with equal id are not earlier than each other at the same
     start, so repeated rows keep their first occurrence each. Texts shorter than a window lose
     nothing. An empty table gives an empty result. Columns named like the results
-    are replaced by them.
+    are replaced by them. ``spans=False`` leaves the ranges out. ``block_mb`` is the input per index block:
+    more needs more memory per task and sends fewer, longer rows.
     """
+    bounded_batches(docs.sparkSession)
     made = {"n_words", "n_removed", "spans", "kept_sha256", "rid", "part"}
     other = [c for c in docs.columns if keep_columns and c not in {doc_id, text} | made]
     rid = F.xxhash64(F.col(doc_id), F.col(text))
-    blocks = buckets_for(docs, text, 7.0, 24)
+    blocks = buckets_for(docs, text, block_mb, 24)
     parts = blocks
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             rows = list(_index_rows(batch, window, gram, blocks))
             if rows:
                 yield _index_columns(rows)
@@ -211,17 +218,11 @@ def substring_dedup(
     indexed = source.mapInArrow(index, "block int, " + ", ".join(f"{c} binary" for c in _INDEX[1:]))
     found = indexed.groupBy("block").applyInArrow(lambda g: _resolve(g, parts), "part int, rid binary, first binary, n binary")
 
-    part_of = lambda r: (mix64(r.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part_of(column(batch, "rid").to_numpy()))], [*batch.schema.names, "part"])
-
-    own = docs.select(F.col(doc_id), F.col(text), *other, rid.alias("rid"))
+    own = docs.select(F.col(doc_id), F.col(text), *[F.col(f"`{c}`") for c in other], rid.alias("rid"))
     kinds = dict(own.dtypes)
-    dealt = own.mapInArrow(deal, ", ".join(f"`{c}` {t}" for c, t in own.dtypes) + ", part int")
+    dealt = own.withColumn("part", F.pmod("rid", F.lit(parts)).cast("int"))
     kept = [c for c in (*docs.columns,) if c in {doc_id, *other} or (c == text and not digest)]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>" + ", kept_sha256 string" * digest
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_words bigint, n_removed bigint" + ", spans array<struct<start:bigint,end:bigint>>" * spans + ", kept_sha256 string" * digest
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         pack = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in right[c]] or [np.empty(0, t)])
@@ -230,30 +231,33 @@ def substring_dedup(
         rids, first, n = rids[order], first[order], n[order]
         mine = left["rid"].to_numpy()
         low, high = np.searchsorted(rids, mine, "left"), np.searchsorted(rids, mine, "right")
-        texts, n_words, n_removed, spans, digests = [], [], [], [], []
+        texts, n_words, n_removed, ranges, digests = [], [], [], [], []
         for k, body in enumerate(left[text]):
             whole = body.as_py()
             words = (whole or "").encode().split()
             n_words.append(len(words))
             if low[k] == high[k]:
-                gone, ranges = 0, []
+                gone, mine_ranges = 0, []
             else:
                 covered = _spans(first[low[k] : high[k]], n[low[k] : high[k]], window, len(words))
                 gone = int(covered.sum())
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                ranges = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
+                mine_ranges = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)] if spans else []
                 words = [w for w, c in zip(words, covered, strict=True) if not c]
             n_removed.append(gone)
-            spans.append(ranges)
+            if spans:
+                ranges.append(mine_ranges)
             if digest:
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             else:
                 texts.append(b" ".join(words).decode() if gone else whole)
         out = {c: pa.array(texts, pa.string()) if c == text else left[c] for c in kept}
         out |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
-        out["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        if spans:
+            out["spans"] = pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         if digest:
             out["kept_sha256"] = pa.array(digests, pa.string())
+        trim()
         return pa.table(out)
 
     return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(apply, schema)
