@@ -101,10 +101,20 @@ def safety_failures(diff: DataFrame, d: dict[str, DataFrame], o: dict[str, DataF
     return out
 
 
-def failures(diff: DataFrame, d: dict[str, DataFrame], o: dict[str, DataFrame], suppress: tuple[str, ...] = ()) -> DataFrame:
-    """All failures in report order. Tables that are not eligible show eligibility failures only; ``suppress`` names safety rules to skip."""
+def failures(diff: DataFrame, d: dict[str, DataFrame], o: dict[str, DataFrame], suppress: tuple[str, ...] = (), extra: tuple = ()) -> DataFrame:
+    """All failures in report order. Tables that are not eligible show eligibility failures only.
+
+    ``suppress`` names safety rules to skip. ``extra`` are further rules: functions of (diff, d, o) that return
+    table_id, stream, pos, rule, message and subject of what they refuse.
+    """
     first = settle(eligibility_failures(diff, d, o))
-    then = safety_failures(diff, d, o).where(~F.col("rule").isin(*suppress)) if suppress else safety_failures(diff, d, o)
+    then = safety_failures(diff, d, o)
+    if suppress:
+        then = then.where(~F.col("rule").isin(*suppress))
+    for i, rule in enumerate(extra):
+        found = rule(diff, d, o)
+        none = F.array().cast("array<string>").alias("details")
+        then = then.unionByName(found.select("table_id", F.lit(100 + i).alias("rule_ord"), "stream", "pos", "rule", "message", "subject", none))
     then = settle(then).join(first.select("table_id").distinct(), "table_id", "left_anti")
     return first.withColumn("eligible", F.lit(False)).unionByName(then.withColumn("eligible", F.lit(True)))
 

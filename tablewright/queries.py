@@ -472,6 +472,9 @@ _K = "WITH RECURSIVE "
 ORACLES: dict[str, str] = {
     "observed_columns": _described(STAR),
     "diff_columns": _diff_columns_sql(),
+    "policy_failures": f"SELECT table_id, 'ColumnSpellingMustMatchCatalog' AS rule, subject FROM ({_diff_columns_sql()}) WHERE action = 'ColumnCaseDrift'",
+    "run_report": f"WITH {_relation_sql('t', DESIRED, 'tables')}, bad AS (SELECT DISTINCT table_id FROM ({_diff_columns_sql()}) WHERE action = 'ColumnCaseDrift') "
+        "SELECT table_id, CASE WHEN table_id IN (FROM bad) THEN 'PLANNING_FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN table_id IN (FROM bad) THEN 'not planned' ELSE 'planned' END AS change_state FROM t_tables",
     "diff_tags": "WITH " + _relation_sql("d", DESIRED, "tags") + ", " + _relation_sql("o", _seeded(), "tags") + _DIFF_TAGS,
     "diff_properties": "WITH " + _relation_sql("d", DESIRED, "properties") + ", " + _relation_sql("o", _seeded(), "tables", "properties") + _DIFF_PROPERTIES,
     "diff_keys": "WITH " + _relation_sql("d", DESIRED, "primary_keys", "foreign_keys") + ", " + _relation_sql("o", _seeded(), "tables", "primary_keys", "foreign_keys") + _DIFF_KEYS,

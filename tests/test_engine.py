@@ -272,3 +272,13 @@ def test_session_catalog(spark):
     assert run_statement(spark, "SELECT '${env:HOME}' AS x").first().x == "${env:HOME}"
     assert condition(Exception("[SOME_ERROR] text")) == "SOME_ERROR"
     spark.sql("DROP TABLE spark_catalog.wright.seen")
+
+
+def test_rules_can_be_added_and_suppressed(spark):
+    def no_strings(diff, d, o):
+        found = diff.where((F.col("action") == "AddColumn") & (F.col("type_sql") == "STRING"))
+        return found.select("table_id", "stream", "pos", F.lit("NoStrings").alias("rule"), F.lit("no strings").alias("message"), F.col("col").alias("subject"))
+
+    table, state = make("t", ID, Column("b", String()), Column("c", Integer(), False)), seen("t", ID)
+    report = Engine(spark, Fixed({"c.s.t": state}), suppress=["NonNullableColumnAdd"], extra_rules=[no_strings]).sync(table, dry_run=True)
+    assert [(f.extra["rule"], f.extra["subject"]) for f in report.tables[0].failures] == [("NoStrings", "b")]
