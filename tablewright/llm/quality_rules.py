@@ -112,14 +112,20 @@ def _features(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     )
 
 
-def _distance(counts: list[Column], total: Column, ref: list[Column]) -> Column:
-    """Jensen-Shannon distance (base 2) of counts over their total and a reference distribution."""
-    terms = []
-    for n, q in zip(counts, ref, strict=True):
+def _distance(counts: Column, total: Column, ref: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of an array of counts over their total and a reference distribution."""
+
+    def term(n: Column, q: Column) -> Column:
         p = n / total
         m = (p + q) / 2
-        terms.append(F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0))
-    return F.sqrt(F.greatest(sum(terms, F.lit(0.0)) / 2, F.lit(0.0)))
+        return F.when(n > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+
+    divergence = F.aggregate(F.zip_with(counts, ref, term), F.lit(0.0), lambda a, x: a + x) / 2
+    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def _other_words() -> Column:
@@ -152,27 +158,26 @@ def quality_rules(
     found = staged.write(_features(docs, doc_id, text, lang), "features")
 
     # one row per language list and one for all other languages: five rows at most
-    other = _other_words()
-    sums = found.groupBy("ref").agg(*[F.sum(c).alias(c) for c in (*CLASS_COLUMNS, *WORD_COLUMNS)], F.sum(other).alias("w_other"))
-    chars = sum((F.col(c) for c in CLASS_COLUMNS), F.lit(0)) + len(CLASS_COLUMNS)
-    tokens = sum((F.col(c) for c in (*WORD_COLUMNS, "w_other")), F.lit(0)) + len(WORD_COLUMNS) + 1
-    refs = sums.select(
-        F.col("ref").alias("r"),
-        *[((F.col(c) + 1) / chars).alias(f"r_{c}") for c in CLASS_COLUMNS],
-        *[((F.col(c) + 1) / tokens).alias(f"r_{c}") for c in (*WORD_COLUMNS, "w_other")],
-    )
+    found = found.select(
+        "doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.array(*CLASS_COLUMNS).alias("classes"), F.array(*WORD_COLUMNS, _other_words()).alias("words"))
+    totals = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
+    share = lambda c, n: F.transform(c, lambda x: (x + 1) / (_sum(F.col(c)) + n))
+    n_classes, n_words = len(CLASS_COLUMNS), len(WORD_COLUMNS) + 1
+    sums = found.groupBy("ref").agg(totals("classes", n_classes).alias("c"), totals("words", n_words).alias("w"))
+    refs = sums.select(F.col("ref").alias("r"), share("c", n_classes).alias("r_classes"), share("w", n_words).alias("r_words"))
     judged = found.join(F.broadcast(refs), F.col("ref") == F.col("r"))
-    n_chars = sum((F.col(c) for c in CLASS_COLUMNS), F.lit(0))
-    n_tokens = F.greatest(F.col("n_words"), sum((F.col(c) for c in WORD_COLUMNS), F.lit(0)))
-    class_distance = F.when(n_chars >= min_class_chars, _distance([F.col(c) for c in CLASS_COLUMNS], n_chars, [F.col(f"r_{c}") for c in CLASS_COLUMNS]))
-    word_distance = F.when(
-        (F.col("n_words") >= min_words) & (F.col("ref") != OTHER),
-        _distance([*[F.col(c) for c in WORD_COLUMNS], other], n_tokens, [F.col(f"r_{c}") for c in (*WORD_COLUMNS, "w_other")]),
-    )
+    n_chars = _sum(F.col("classes"))
+    n_tokens = F.greatest(F.col("n_words"), _sum(F.slice("words", 1, len(WORD_COLUMNS))))
+    judged = judged.withColumns({"n_chars": n_chars, "n_tokens": n_tokens}).withColumns({
+        "class_distance": F.when(F.col("n_chars") >= min_class_chars, _distance(F.col("classes"), F.col("n_chars"), F.col("r_classes"))),
+        "word_distance": F.when((F.col("n_words") >= min_words) & (F.col("ref") != OTHER), _distance(F.col("words"), F.col("n_tokens"), F.col("r_words"))),
+    })
+    class_distance, word_distance = F.col("class_distance"), F.col("word_distance")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     good = (F.coalesce(class_distance, F.lit(0.0)) <= max_class_distance) & (F.coalesce(word_distance, F.lit(0.0)) <= max_word_distance)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & good).alias("kept"),
-        class_distance.alias("class_distance"), word_distance.alias("word_distance"),
+        "class_distance", "word_distance",
     )

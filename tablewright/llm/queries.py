@@ -12,7 +12,7 @@ from .mixing import mix_sources
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality_classifier import quality_classifier
-from .quality_rules import quality_rules
+from .quality_rules import CLASSES, COMMON, quality_rules
 from .substring_dedup import substring_dedup
 from .token_counts import document_token_counts
 from .topk import top_k
@@ -63,11 +63,56 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_documents(spark, sf_dir))
+    found = quality_rules(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op6_sql() -> str:
+    lists = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in COMMON.items())
+    classes = ", ".join(f"length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')) AS {c}" for c, p in CLASSES.items())
+    counts = "[" + ", ".join([*CLASSES, "c_rest"]) + "]"
+    return rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON)}) THEN lang ELSE '*' END AS ref FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, ' ' || regexp_replace(lower(t), '[^\p{{L}}]+', '  ', 'g') || ' ' AS s,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, {classes}
+  FROM t
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE n > 1) GROUP BY doc_id
+), f AS (
+  SELECT w.doc_id, ref, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, {", ".join(CLASSES)},
+    greatest(length(array_to_string(w, '')) - ({" + ".join(CLASSES)}), 0) AS c_rest,
+    list_transform(CASE ref {lists} ELSE [] END, lambda x: (strlen(s) - strlen(replace(s, ' ' || x || ' ', ''))) // (strlen(x) + 2)) AS common
+  FROM w LEFT JOIN repeats r ON r.doc_id = w.doc_id
+), g AS (
+  SELECT *, {counts} AS c, list_append(CASE WHEN ref = '*' THEN list_transform(range(12), lambda x: 0) ELSE common END, greatest(n_words - coalesce(list_sum(common), 0), 0)) AS v FROM f
+), sums AS (
+  SELECT ref, list_transform(range(1, 7), lambda i: list_sum(list_transform(list(c), lambda x: x[i]))) AS c, list_transform(range(1, 14), lambda i: list_sum(list_transform(list(v), lambda x: x[i]))) AS v
+  FROM g GROUP BY ref
+), refs AS (
+  SELECT ref, list_transform(c, lambda x: (x + 1) / (list_sum(c) + 6)) AS qc, list_transform(v, lambda x: (x + 1) / (list_sum(v) + 13)) AS qv FROM sums
+), p AS (
+  SELECT g.*, qc, qv, list_transform(c, lambda x: x / list_sum(c)) AS pc, list_transform(v, lambda x: x / greatest(n_words, list_sum(v) - v[13])) AS pv FROM g JOIN refs USING (ref)
+), d AS (
+  SELECT *, CASE WHEN list_sum(c) >= 200 THEN sqrt(greatest(list_sum(list_transform(list_zip(pc, qc), lambda z:
+      (CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END) + z[2] * log2(2 * z[2] / (z[1] + z[2])))) / 2, 0)) ELSE 0 END AS dc,
+    CASE WHEN n_words >= 50 AND ref <> '*' THEN sqrt(greatest(list_sum(list_transform(list_zip(pv, qv), lambda z:
+      (CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END) + z[2] * log2(2 * z[2] / (z[1] + z[2])))) / 2, 0)) ELSE 0 END AS dw,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM p
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= 0.3 AND dw <= 0.45 AS kept FROM d
+"""
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup(_documents(spark, sf_dir), keep_columns=False, digest=True)
+    found = substring_dedup(_documents(spark, sf_dir), keep_columns=False, digest=True, spans=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
@@ -145,6 +190,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_topk": OP2_SQL,
+    "op6_quality_rules": _op6_sql(),
     "op7_substring_dedup": OP7_SQL,
     "op10_near_dedup": OP10_SQL,
 }
