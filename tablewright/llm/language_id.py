@@ -139,7 +139,7 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
 
 
 def identify(
-    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.05, keep_columns: bool = False,
+    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.025, keep_columns: bool = False,
 ) -> DataFrame:
     """lang_pred, score and rejected of every document, after its doc_id or, with ``keep_columns``, all its columns.
 
