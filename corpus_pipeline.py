@@ -61,6 +61,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed sequences of a folder's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     staged = Staged(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = staged.write(stage(spark, docs, sf_dir), name)
+        if before:
+            staged.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

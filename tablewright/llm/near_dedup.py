@@ -173,9 +173,9 @@ def _with_texts(need: DataFrame, rids: DataFrame, bodies: DataFrame) -> DataFram
     return maybe_in(bodies, "rid", need.select("class").distinct().join(rids, "class"), "rid").join(wanted, "rid")
 
 
-def _confirm_stars(edges: DataFrame, rids: DataFrame, bodies: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
+def _confirm_stars(edges: DataFrame, rids: DataFrame, bodies: DataFrame, staged: Staged, shingle: int, percent: int, chunk: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar; a centre's members are compared in chunks."""
-    sizes = edges.groupBy("b").agg(F.count("*").alias("m"))
+    sizes = staged.write(edges.groupBy("b").agg(F.count("*").alias("m")), "star-sizes")  # apart, so that a large star's rows can be split
     salted = edges.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a", F.lit(9)), F.ceil(F.col("m") / chunk)).cast("int").alias("salt"))
     centres = salted.select("b", "salt").distinct().select(F.col("b").alias("class"), "b", "salt")
     need = salted.select(F.col("a").alias("class"), "b", "salt").unionByName(centres)
@@ -197,13 +197,13 @@ def _confirm_stars(edges: DataFrame, rids: DataFrame, bodies: DataFrame, shingle
     return rows.groupBy("b", "salt").applyInArrow(compare, "a long, b long")
 
 
-def _confirm_blocks(members: DataFrame, rids: DataFrame, bodies: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+def _confirm_blocks(members: DataFrame, rids: DataFrame, bodies: DataFrame, staged: Staged, shingle: int, percent: int, block: int) -> DataFrame:
     """Links between components inside clusters: edges (a, b) of component roots.
 
     ``members`` has cluster, class and root. A cluster is cut into blocks of about
     ``block`` members; every two blocks meet once, so each text is sent once per block.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"))
+    sizes = staged.write(members.groupBy("cluster").agg(F.count("*").alias("m")), "cluster-sizes")
     dealt = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("class", F.lit(13)), F.col("blocks")).cast("int"))
     meets = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -266,7 +266,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     stars = _star_edges(classes, buckets).groupBy("a", "b").agg(F.sum("n").alias("n"))
     stars = staged.write(stars, "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("c"))).alias("x")).select("a", (-F.col("x.c")).alias("b"))
-    links = staged.write(_confirm_stars(best, rids, bodies, shingle, percent, chunk), "links")
+    best = staged.write(best, "best")
+    links = staged.write(_confirm_stars(best, rids, bodies, staged, shingle, percent, chunk), "links")
     roots = staged.write(connected_components(links, staged, "first"), "roots")
 
     # candidate edges that still join two components, and the clusters of components that they form
@@ -275,12 +276,13 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     clusters = connected_components(open_, staged, "open").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     member = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     members = staged.write(member.join(clusters, "root").select("cluster", "class", "root"), "members")
-    more = staged.write(_confirm_blocks(members, rids, bodies, shingle, percent, block), "more-links")
+    more = staged.write(_confirm_blocks(members, rids, bodies, staged, shingle, percent, block), "more-links")
 
     merged = connected_components(more, staged, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = member.join(merged, "root", "left").select("class", F.coalesce("top", "root").alias("top"), "first")
     labels = final.groupBy("top").agg(F.min("first").alias("first"))
     final = staged.write(final.select("class", "top").join(labels, "top"), "final")
+    staged.drop(*[t for t in staged.paths if t not in ("signed", "final")])
     return signed.select("doc_id", "n_shingles", "class").join(final, "class", "left")
 
 
