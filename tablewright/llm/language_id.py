@@ -4,8 +4,10 @@ Texts are lower-cased; everything but letters separates words. Character pairs
 and triples are hashed into a fixed number of buckets. Document frequencies come
 from all training documents; the centroids (several per language, spherical
 k-means) from a bounded sample of each language. A document gets the language of
-the centroid with the largest cosine; one that is far from all centroids is
-rejected.
+the centroid with the largest cosine. Cosines grow with a text's length, through
+bucket collisions even for foreign letters, so a text of some length is rejected by
+a mean that does not: the log probability of its n-grams in each language. Only very short
+texts, whose means say little, are rejected by their cosine.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .textcore import column
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
+LEAST_LETTERS = 40
 
 
 @functools.cache
@@ -88,21 +91,34 @@ def clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres.astype(np.float32)
 
 
+def profile(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log2 probability of each bucket in a language, less the limit: half-way from its own texts' mean to unrelated n-grams."""
+    share = np.zeros(BUCKETS)
+    for index, counts in found:
+        share[index] += counts / counts.sum() / len(found)
+    bits = np.log2(0.9 * share + 0.1 / BUCKETS)
+    return (bits - (share @ bits + bits.mean()) / 2).astype(np.float32)
+
+
 class Model:
-    """Centroids with their languages, and inverse document frequencies."""
+    """Centroids with their languages, inverse document frequencies, and a profile per language."""
 
-    def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray):
+    def __init__(self, languages: list[str], centroids: np.ndarray, idf: np.ndarray, profiles: np.ndarray):
         self.languages, self.idf = languages, idf
-        self.by_bucket = np.ascontiguousarray(centroids.T)
+        self.by_bucket, self.profiles = np.ascontiguousarray(centroids.T), np.ascontiguousarray(profiles.T)
+
+    def predict(self, text: str | None) -> tuple[str, float, float | None]:
+        """Language of the nearest centroid, the cosine to it, and the margin above the limit of the likeliest language.
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language of the nearest centroid and the cosine to it."""
+        The margin is a mean over n-grams, whatever their number; it is null for fewer than ``LEAST_LETTERS`` letters.
+        """
         index, counts, letters = grams(text)
         if not letters or not self.languages:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, None
         cosines = _values(index, counts, self.idf) @ self.by_bucket[index]
         best = int(np.argmax(cosines))
-        return self.languages[best], float(np.clip(cosines[best], 0.0, 1.0))
+        margin = float((counts @ self.profiles[index]).max() / counts.sum()) if letters >= LEAST_LETTERS else None
+        return self.languages[best], float(np.clip(cosines[best], 0.0, 1.0)), margin
 
 
 def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed: int = 3) -> Model:
@@ -111,7 +127,8 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
     known = docs.where(F.col("lang").isNotNull())
     frequencies = sum_vectors(known.select("text").mapInArrow(_document_frequencies, "v binary"), "v", "<i8")
     if frequencies is None or not frequencies[-1]:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32))
+        none = np.zeros((0, BUCKETS), np.float32)
+        return Model([], none, np.ones(BUCKETS, np.float32), none)
     idf = np.log((1.0 + frequencies[-1]) / (1.0 + frequencies[:-1])).astype(np.float32)
     # a share of each language by hash, so that no task gets all rows of a common language; one row per
     # language is broadcast, and the model holds several vectors of each language anyway
@@ -123,19 +140,22 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
         order = np.lexsort((group["doc_id"].fill_null(-1).to_numpy(),))
         texts = group["text"].to_pylist()
         rows = np.zeros((len(order), BUCKETS), dtype=np.float32)
-        used = 0
+        found = []
         for i in order:
             index, counts, letters = grams(texts[i])
             if letters:
-                rows[used, index] = _values(index, counts, idf)
-                used += 1
-        rows = rows[:used]
-        centres = clusters(rows, centroids) if len(rows) else np.zeros((0, BUCKETS), np.float32)
-        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(centres), pa.string()), "v": pa.array([c.tobytes() for c in centres], pa.binary())})
+                rows[len(found), index] = _values(index, counts, idf)
+                found.append((index, counts))
+        rows = rows[: len(found)]
+        made = [*clusters(rows, centroids), profile(found)] if found else []
+        kinds = ["centroid"] * (len(made) - 1) + ["profile"] if found else []
+        lang = [group["lang"][0].as_py()] * len(made)
+        return pa.table({"lang": pa.array(lang, pa.string()), "kind": pa.array(kinds, pa.string()), "v": pa.array([v.tobytes() for v in made], pa.binary())})
 
-    rows = sorted(sample.groupBy("lang").applyInArrow(cluster, "lang string, v binary").collect())
-    vectors = [np.frombuffer(r["v"], dtype=np.float32) for r in rows]
-    return Model([r["lang"] for r in rows], np.stack(vectors) if vectors else np.zeros((0, BUCKETS), np.float32), idf)
+    rows = sorted(sample.groupBy("lang").applyInArrow(cluster, "lang string, kind string, v binary").collect())
+    of = {kind: [np.frombuffer(r["v"], dtype=np.float32) for r in rows if r["kind"] == kind] for kind in ("centroid", "profile")}
+    stacked = {kind: np.stack(v) if v else np.zeros((0, BUCKETS), np.float32) for kind, v in of.items()}
+    return Model([r["lang"] for r in rows if r["kind"] == "centroid"], stacked["centroid"], idf, stacked["profile"])
 
 
 def identify(
@@ -144,25 +164,27 @@ def identify(
     """lang_pred, score and rejected of every document, after its doc_id or, with ``keep_columns``, all its columns.
 
     score is the cosine to the nearest centroid, clipped to [0, 1]. Null, empty and
-    letterless texts are ``und`` with score 0 and rejected; documents with a score
-    under ``reject_below`` are rejected but keep their nearest language. Input columns
-    named like the results are replaced by them.
+    letterless texts are ``und`` with score 0 and rejected. Texts of ``LEAST_LETTERS`` letters
+    or more are rejected where their n-grams are less likely than the limit of every
+    language, shorter ones with a score under ``reject_below``; both keep their nearest
+    language. Input columns named like the results are replaced by them.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x buckets
     made = ["lang_pred", "score", "rejected"]
     kept = [c for c in docs.columns if c not in made] if keep_columns else [doc_id]
     own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__body"))
-    names = [*kept, *made[:2]]
+    names = [*kept, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(body.as_py()) for body in column(batch, "__body")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
+            rejected = [lang == UNDETERMINED or (score < reject_below if margin is None else margin < 0) for lang, score, margin in found]
+            values = pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), pa.array(rejected, pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *values], names)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
-    found = own.mapInArrow(run, f"{kinds}, lang_pred string, score double")
-    return found.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < reject_below))
+    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, held_out: int = 0, **options) -> DataFrame:
