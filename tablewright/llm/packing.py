@@ -124,7 +124,7 @@ def token_pieces(docs: DataFrame, *, doc_id: str, text: str, capacity: int, end_
                 rows: list[list] = [[] for _ in names]
                 part = batch.slice(low, 1024)
                 for key, body in zip(column(part, "doc_id").to_pylist(), column(part, "text"), strict=True):
-                    ids = np.append(encode(body.as_py()), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(encode(body.as_py(), added=True), np.uint32(end_id)).astype("<u4")
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):
                         raw = ids[start : start + length].tobytes()
                         for to, value in zip(rows, (key, k, start, length, zlib.crc32(raw), raw), strict=False):
