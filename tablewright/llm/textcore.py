@@ -133,3 +133,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22)
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def pack(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Rows of bytes without a Python object each: row ``i`` holds ``values[cuts[i]:cuts[i + 1]]``."""
+    values = np.ascontiguousarray(values)
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim == 2 else 1)
+    offsets = (np.asarray(cuts, dtype=np.int64) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def unpack(rows: pa.Array | pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of bytes one after another, and how many each row has."""
+    rows = rows.cast(pa.large_binary())
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    _, offsets, data = rows.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1] if len(rows) else np.zeros(1, np.int64)
+    size = np.dtype(dtype).itemsize
+    values = np.frombuffer(data, dtype=dtype, count=int(offsets[-1] - offsets[0]) // size, offset=int(offsets[0])) if data and offsets[-1] > offsets[0] else np.empty(0, dtype)
+    return values, np.diff(offsets) // size
+
+
+def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours begins."""
+    if not len(sorted_keys):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
