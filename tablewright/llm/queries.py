@@ -107,12 +107,12 @@ WITH t AS (
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM p
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= 0.3 AND dw <= 0.45 AS kept FROM d
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= 0.3 AND dw <= 0.26 AS kept FROM d
 """
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup(_documents(spark, sf_dir), keep_columns=False, digest=True, spans=False)
+    found = substring_dedup(_documents(spark, sf_dir), keep_columns=False, digest=True, factors=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -1,8 +1,9 @@
 """Staged tables: intermediate results written once to the shared folder of the cluster.
 
 A staged table cuts lineage, survives the loss of executors and is read with
-column pruning. It lives under ``spark.checkpoint.dir``; only where that is
-unset (tests, notebooks) a temporary folder of this machine is taken.
+column pruning. It lives under ``spark.checkpoint.dir`` or the context's checkpoint
+folder; only where neither is set and driver and executors are one machine (tests, notebooks)
+a temporary folder of this machine is taken.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ _own_dir: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tablewright-"))
     return _own_dir[0]
@@ -51,6 +54,10 @@ class Staged:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)  # whatever is left goes when the driver ends
 
     def write(self, df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{tag}"
@@ -80,3 +87,14 @@ def input_gigabytes(df: DataFrame, text: str | None = None) -> float:
 def buckets_for(df: DataFrame, text: str, mb_each: float, least: int) -> int:
     """Number of hash buckets so that each holds about ``mb_each`` MB of the input."""
     return max(least, int(input_gigabytes(df, text) * 1000 / mb_each) + 1)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each led by as many underscores as make it new to ``df`` (names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
