@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Staged
 
 
-def connected_components(edges: DataFrame, staged: Staged, name: str, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, staged: Staged, name: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns a, b); the root is the smallest node of the component.
 
     Each round hangs the larger neighbours of every node on its smallest neighbour
     (large star), then its smaller neighbours and itself (small star). Edges only ever
-    get fewer or point to smaller nodes, so the rounds grow with the logarithm of
+    get fewer or point to smaller nodes, so the rounds end, and grow with the logarithm of
     the longest path. Only two numbers a round reach the driver.
     """
     ordered = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = staged.write(ordered, f"{name}-0")
     before = _fingerprint(current)
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,8 +36,6 @@ def connected_components(edges: DataFrame, staged: Staged, name: str, rounds: in
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

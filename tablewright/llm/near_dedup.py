@@ -2,14 +2,15 @@
 
 1. Every text becomes its set of hashed word shingles. One hash pass fills the bins
    of a one-permutation signature; empty bins borrow by optimal densification.
-   Texts with equal sets form a class; only one representative of each goes on.
+   Texts with equal sets (128 bits of fingerprints) form a class; only one representative of each goes on.
 2. Bands of the signature name buckets. A bucket of m classes gives m - 1 edges to
    its smallest member (a star), first within each task and then across tasks.
 3. Every class is compared on full sets with the centre that it shares most
    buckets with. Confirmed edges are contracted into components.
 4. A star can hide a link between two members that are both unlike the centre. Any
    such link lies between components that candidate edges still join; the members
-   of these are compared with each other, block by block, on full sets.
+   of these are compared with each other, block by block: an inverted index of the block's
+   shingles gives the exact overlaps of each member, without a filter before it.
 
 Components are labelled with the smallest document id. Texts that are compared
 travel once per block; links and components stay in distributed tables.
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .membership import maybe_in
-from .staging import Staged, buckets_for
-from .textcore import buffers, column, gram_hashes, mix64, slices, span_hashes, split_words
+from .staging import Staged, buckets_for, fresh
+from .substring_dedup import _within
+from .textcore import buffers, column, gram_hashes, mix64, pack, slices, span_hashes, split_words, starts_of, unpack
 
 BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
@@ -90,25 +92,26 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-_SIGNED = "rid long, doc_id {kind}, n_shingles long, class long, bands binary"
+_SIGNED = "rid long, doc_id {kind}, n_shingles long, class long, check long, bands binary"
+
+
+def _fingerprint(s: np.ndarray, salt: int) -> int:
+    """Order-free: equal for equal sets."""
+    return int(mix64(np.array([mix64(s * np.uint64(salt)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            size, of, bands = [], [], []
+            size, of, check, bands = [], [], [], []
             for s in shingle_sets(column(batch, "text"), shingle):
                 size.append(len(s))
-                if len(s):
-                    # order-free and position-bound: equal for equal sets only
-                    of.append(int(mix64(np.array([mix64(s * np.uint64(0xBF58476D1CE4E5B9)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
-                    bands.append(band_keys(signature(s)).astype("<u8").tobytes())
-                else:
-                    of.append(None)
-                    bands.append(None)
+                of.append(_fingerprint(s, 0xBF58476D1CE4E5B9) if len(s) else None)
+                check.append(_fingerprint(s, 0x94D049BB133111EB) if len(s) else None)
+                bands.append(band_keys(signature(s)).astype("<u8").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "rid"), column(batch, "doc_id"), pa.array(size, pa.int64()), pa.array(of, pa.int64()), pa.array(bands, pa.binary())],
-                ["rid", "doc_id", "n_shingles", "class", "bands"])
+                [column(batch, "rid"), column(batch, "doc_id"), *[pa.array(x, pa.int64()) for x in (size, of, check)], pa.array(bands, pa.binary())],
+                ["rid", "doc_id", "n_shingles", "class", "check", "bands"])
 
     return run
 
@@ -130,25 +133,22 @@ def _star_edges(classes: DataFrame, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             node = column(batch, "class").to_numpy()
-            keys = np.frombuffer(b"".join(x.as_py() for x in column(batch, "bands")), "<u8")
+            keys, _ = unpack(column(batch, "bands"), "<u8")
             keys, centre, a, b = _stars(keys, np.repeat(node, BANDS))
-            bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ways = (mix64(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            by_way = np.argsort(ways, kind="stable")
-            way_cuts = np.searchsorted(ways[by_way], np.arange(buckets + 1))
-            rows = []
-            for k in range(buckets):
-                mine, way = order[cuts[k] : cuts[k + 1]], by_way[way_cuts[k] : way_cuts[k + 1]]
-                if len(mine) or len(way):
-                    rows.append((k, keys[mine].tobytes(), centre[mine].tobytes(), a[way].tobytes(), b[way].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
+            # buckets and edges go to numbered rows; only rows that hold something are made
+            of = np.concatenate([(keys >> np.uint64(40)) % np.uint64(buckets), mix64(a.view(np.uint64)) % np.uint64(buckets)]).astype(np.int64)
+            present, row = np.unique(of, return_inverse=True)
+            places = np.arange(len(present) + 1)
+            by_key, by_way = np.argsort(row[: len(keys)], kind="stable"), np.argsort(row[len(keys) :], kind="stable")
+            cuts, way_cuts = np.searchsorted(row[: len(keys)][by_key], places), np.searchsorted(row[len(keys) :][by_way], places)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(present, pa.int32()), pack(keys[by_key], cuts), pack(centre[by_key], cuts), pack(a[by_way], way_cuts), pack(b[by_way], way_cuts)], names)
 
     def join(group: pa.Table) -> pa.Table:
-        keys, nodes, a, b = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group[c]]) for c, t in (("keys", "<u8"), ("nodes", "<i8"), ("a", "<i8"), ("b", "<i8")))
+        keys, nodes, a, b = (unpack(group[c], t)[0] for c, t in (("keys", "<u8"), ("nodes", "<i8"), ("a", "<i8"), ("b", "<i8")))
         _, _, more, centre = _stars(keys, nodes)
         a, b = np.concatenate([a, more]), np.concatenate([b, centre])
         order = np.lexsort((b, a))
@@ -167,6 +167,19 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """For each of ``rows``: the exact sizes of its intersections, itself, and the members of ``others`` that it meets."""
+    values = np.concatenate([sets[i] for i in others] or [np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(others)), [len(sets[i]) for i in others])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for x in rows:
+        low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+        n = np.bincount(owner[_within(low, high - low)], minlength=len(others))
+        met = np.flatnonzero(n)
+        yield n[met], int(x), others[met]
+
+
 def _with_texts(need: DataFrame, rids: DataFrame, bodies: DataFrame) -> DataFrame:
     """Add the text of a representative of each ``class``. Texts that nothing needs aren't shuffled."""
     wanted = need.join(rids, "class")
@@ -209,7 +222,6 @@ def _confirm_blocks(members: DataFrame, rids: DataFrame, bodies: DataFrame, stag
     meets = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "class", "root")
     rows = _with_texts(meets, rids, bodies).select("cluster", "lo", "hi", "i", "class", "root", "text")
-    floor = (percent - 16) / 100 * BINS  # over five standard deviations of the agreement below the limit
 
     def compare(group: pa.Table) -> pa.Table:
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
@@ -217,8 +229,6 @@ def _confirm_blocks(members: DataFrame, rids: DataFrame, bodies: DataFrame, stag
         sets: list[np.ndarray] = []
         for low in range(0, group.num_rows, 64):
             sets += shingle_sets(group["text"].slice(low, 64), shingle)
-        size = np.array([len(s) for s in sets])
-        marks = np.stack([signature(s) for s in sets]).astype(np.uint32)
         parent = {int(r): int(r) for r in np.unique(root)}
 
         def find(x: int) -> int:
@@ -228,17 +238,12 @@ def _confirm_blocks(members: DataFrame, rids: DataFrame, bodies: DataFrame, stag
             return x
 
         edges = []
-        rows_of = np.flatnonzero(side == lo)
         others = np.flatnonzero(side == hi)
-        for x in rows_of:
-            ys = others[others > x] if lo == hi else others
-            ys = ys[(root[ys] != root[x]) & (100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x]))]
-            if not len(ys):
-                continue
-            agree = (marks[ys] == marks[x]).sum(axis=1)
-            for y in ys[agree >= floor][np.argsort(-agree[agree >= floor], kind="stable")]:
-                a, b = find(int(root[x])), find(int(root[y]))
-                if a != b and _similar(sets[x], sets[y], percent):
+        for k, x, y in overlaps(sets, np.flatnonzero(side == lo), others):
+            keep = (root[y] != root[x]) & (100 * k >= percent * (len(sets[x]) + np.array([len(sets[i]) for i in y], dtype=np.int64) - k))
+            for j in y[keep]:
+                a, b = find(int(root[x])), find(int(root[j]))
+                if a != b:
                     parent[max(a, b)] = min(a, b)
                     edges.append((max(a, b), min(a, b)))
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
@@ -257,9 +262,21 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     own = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = staged.write(own.mapInArrow(_sign(shingle), _SIGNED.format(kind=dict(own.dtypes)["doc_id"])), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    some = signed.where(F.col("class").isNotNull())
-    classes = some.groupBy("class").agg(F.min(F.struct("rid", "bands")).alias("one"), F.min(row).alias("first"))
-    classes = staged.write(classes.select("class", "one.rid", "one.bands", "first"), "classes")
+    tag = "signed"
+
+    def grouped() -> DataFrame:
+        each = signed.where(F.col("class").isNotNull()).groupBy("class").agg(
+            F.min(F.struct("rid", "bands")).alias("one"), F.min(row).alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+        return staged.write(each.select("class", "one.rid", "one.bands", "first", "low", "high"), f"classes-{tag}")
+
+    classes = grouped()
+    while classes.where("low <> high").limit(1).count():  # different sets with equal fingerprints: those of a larger check get a class of their own
+        shared = classes.where("low <> high").select("class", "low")
+        apart = F.when(F.col("low").isNotNull() & (F.col("check") != F.col("low")), F.xxhash64("class", "check")).otherwise(F.col("class"))
+        tag += "-again"
+        signed = staged.write(signed.join(shared, "class", "left").withColumn("class", apart).drop("low"), tag)
+        classes = grouped()
+    classes = classes.drop("low", "high")
     rids, bodies = classes.select("class", "rid"), own.select("rid", "text")
 
     buckets = buckets_for(docs, text, 24.0, 24)
@@ -282,12 +299,15 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: in
     final = member.join(merged, "root", "left").select("class", F.coalesce("top", "root").alias("top"), "first")
     labels = final.groupBy("top").agg(F.min("first").alias("first"))
     final = staged.write(final.select("class", "top").join(labels, "top"), "final")
-    staged.drop(*[t for t in staged.paths if t not in ("signed", "final")])
-    return signed.select("doc_id", "n_shingles", "class").join(final, "class", "left")
+    staged.drop(*[t for t in staged.paths if t not in (tag, "final")])
+    found = signed.select("doc_id", "n_shingles", "class")
+    # rows without shingles apart: they would all meet in one task of the join
+    none = found.where(F.col("class").isNull()).select("*", *[F.lit(None).cast(final.schema[c].dataType).alias(c) for c in ("top", "first")])
+    return found.where(F.col("class").isNotNull()).join(final, "class").unionByName(none)
 
 
 def near_dedup(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, chunk: int = 256, block: int = 1024,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80, chunk: int = 256, block: int = 512,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -309,15 +329,17 @@ def near_dedup(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 256, block: int = 1024,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 256, block: int = 512,
 ) -> DataFrame:
     """The rows of ``docs`` with one document of each component, that of the smallest id (null last).
 
-    Rows without words belong to no component and all stay. Of repeated rows one stays.
+    All columns are kept as they are, whatever their names. Rows with null, empty or wordless texts belong to no component and all stay. Of
+    repeated rows (equal id and text) one stays, whatever their other columns; texts of any length are compared whole. An empty table gives an empty one.
     """
     of = _labelled(docs, doc_id, text, shingle, percent, chunk, block).where(F.col("top").isNotNull())
-    kept = of.select(F.col("first.rid").alias("__rid")).distinct()
-    keyed = docs.withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
+    rid, size = fresh(docs, "rid", "size")
+    kept = of.select(F.col("first.rid").alias(rid)).distinct()
+    keyed = docs.withColumns({rid: F.xxhash64(F.col(doc_id), F.col(text)), size: F.octet_length(F.col(text))})
     wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = keyed.where(~wordless).join(kept, "__rid", "left_semi").dropDuplicates(["__rid"])
-    return stay.unionByName(keyed.where(wordless)).drop("__rid")
+    stay = keyed.where(~wordless).join(kept, rid, "left_semi").dropDuplicates([rid, doc_id, size])
+    return stay.unionByName(keyed.where(wordless)).drop(rid, size)
