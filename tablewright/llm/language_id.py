@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import remainder, sum_vectors
-from .staging import bounded_batches
+from .staging import bounded_batches, fresh
 from .textcore import column
 
 BUCKETS = 1 << 14
@@ -121,8 +121,9 @@ class Model:
         return self.languages[best], float(np.clip(cosines[best], 0.0, 1.0)), margin
 
 
-def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed: int = 3) -> Model:
-    """Learn from doc_id, text and non-null lang. ``per_language`` bounds the expected sample that centroids see."""
+def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed: int = 3, most_languages: int = 512) -> Model:
+    """Learn from doc_id, text and non-null lang. ``per_language`` bounds the expected sample that centroids see;
+    ``most_languages`` bounds the model: only so many values of lang, those of most documents, are learned."""
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull())
     frequencies = sum_vectors(known.select("text").mapInArrow(_document_frequencies, "v binary"), "v", "<i8")
@@ -131,14 +132,14 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
         return Model([], none, np.ones(BUCKETS, np.float32), none)
     idf = np.log((1.0 + frequencies[-1]) / (1.0 + frequencies[:-1])).astype(np.float32)
     # a share of each language by hash, so that no task gets all rows of a common language; one row per
-    # language is broadcast, and the model holds several vectors of each language anyway
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # learned language is broadcast
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") / F.lit(float(2**53))
     sample = known.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < per_language).select("lang", "doc_id", "text")
 
     def cluster(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group["doc_id"].fill_null(-1).to_numpy(),))
         texts = group["text"].to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (str(group["doc_id"][i]), texts[i] or ""))  # ids of any type
         rows = np.zeros((len(order), BUCKETS), dtype=np.float32)
         found = []
         for i in order:
@@ -159,7 +160,7 @@ def train(docs: DataFrame, *, per_language: int = 600, centroids: int = 4, seed:
 
 
 def identify(
-    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.025, keep_columns: bool = False,
+    docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", reject_below: float = 0.025, keep_columns: bool = False, prefix: str = "",
 ) -> DataFrame:
     """lang_pred, score and rejected of every document, after its doc_id or, with ``keep_columns``, all its columns.
 
@@ -167,24 +168,27 @@ def identify(
     letterless texts are ``und`` with score 0 and rejected. Texts of ``LEAST_LETTERS`` letters
     or more are rejected where their n-grams are less likely than the limit of every
     language, shorter ones with a score under ``reject_below``; both keep their nearest
-    language. Input columns named like the results are replaced by them.
+    language. Ties go to the first centroid in the order of languages; repeated rows get equal results, an empty
+    table an empty one, and texts of any length are read whole. Names of results get ``prefix``; input columns named like the
+    results are replaced by them.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x centroids x buckets
-    made = ["lang_pred", "score", "rejected"]
+    made = [prefix + x for x in ("lang_pred", "score", "rejected")]
+    (body_name,) = fresh(docs, "body")
     kept = [c for c in docs.columns if c not in made] if keep_columns else [doc_id]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__body"))
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(body_name))
     names = [*kept, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(body.as_py()) for body in column(batch, "__body")]
+            found = [shared.value.predict(body.as_py()) for body in batch.columns[-1]]
             rejected = [lang == UNDETERMINED or (score < reject_below if margin is None else margin < 0) for lang, score, margin in found]
             values = pa.array([x for x, _, _ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64()), pa.array(rejected, pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *values], names)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in own.dtypes[:-1])
-    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return own.mapInArrow(run, f"{kinds}, `{made[0]}` string, `{made[1]}` double, `{made[2]}` boolean")
 
 
 def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, held_out: int = 0, **options) -> DataFrame:

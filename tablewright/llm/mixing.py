@@ -5,10 +5,10 @@ documents are ordered by key and their sizes prefix-summed up to the source's
 budget. A budget of ``q`` times the source takes ``floor(q)`` complete epochs
 and samples only the fractional rest.
 
-The order is never materialised: a radix search on the key finds, per source,
+The order is never materialised: a radix search on the key's logarithm finds, per source,
 the narrow key range in which the budget ends, by summing sizes per digit
-(pre-aggregated before the shuffle). Only the documents of that range are sorted,
-so a source that holds most of the corpus needs no large task.
+(pre-aggregated before the shuffle). The range spans two parts in a hundred million of the key, whatever the
+weights. Only the documents of that range are sorted, so a source that holds most of the corpus needs no large task.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import Staged
+from .staging import Staged, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGIT = 256
-LEVELS = 3
+LEVELS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -96,10 +96,10 @@ def mix_sources(
         F.greatest((letter_share(t) if quality is None else quality).cast("double"), F.lit(1e-9)).alias("weight"),
         F.xxhash64(F.lit(seed), F.col(doc_id), t).alias("tie"),
     )
-    # u in (0, 1) from 52 bits of the hash; x in [0, 1] rises with the key -ln(u) / weight
+    # u in (0, 1) from 52 bits of the hash; x in [0, 1) rises with the key -ln(u) / weight, which lies within 2**-64 and 2**64
     u = (F.shiftrightunsigned(F.col("tie"), 12).cast("double") + 0.5) / F.lit(float(2**52))
     drawn = drawn.withColumn("key", -F.log(u) / F.col("weight"))
-    drawn = drawn.withColumn("x", F.least(1.0 - F.exp(-F.col("key")), F.lit(1.0 - 2.0**-50))).drop("weight")
+    drawn = drawn.withColumn("x", F.least(F.greatest((F.log2("key") + 64.0) / 128.0, F.lit(0.0)), F.lit(1.0 - 2.0**-50))).drop("weight")
     rows = staged.write(drawn, "sizes")
 
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -126,12 +126,17 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seed: int = 17, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``mix_sources`` takes it."""
+    """The mix itself: the rows of ``docs``, each as often as ``mix_sources`` takes it, with all columns.
+
+    Rows of equal id and text are one document here: it comes with the columns of one of them, as often as all are taken
+    together. Null ids, texts and sources are values like others; equal keys are told apart by id. An empty table gives an empty one.
+    """
     found = mix_sources(docs, doc_id=doc_id, text=text, seed=seed, **options)
-    times = found.groupBy(F.col("key").alias("__key")).agg(F.sum("repeats").alias("__times")).where(F.col("__times") > 0)
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    rows = keyed.join(times, "__key").dropDuplicates(["__key"])  # repeated rows share a key, and their repeats are summed
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__key", "__times", "__nth")
+    key, times, nth, id_, other, size = fresh(docs, "key", "times", "nth", "id", "other", "size")
+    taken = found.groupBy(F.col("key").alias(other), F.col("doc_id").alias(id_)).agg(F.sum("repeats").alias(times)).where(F.col(times) > 0)
+    keyed = docs.withColumns({key: F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), size: F.octet_length(F.col(text))})
+    rows = keyed.join(taken, (F.col(key) == F.col(other)) & F.col(doc_id).eqNullSafe(F.col(id_))).dropDuplicates([key, doc_id, size])
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(key, times, nth, id_, other, size)
 
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:

@@ -47,8 +47,7 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     first = _CLASS[words.data[words.starts]] if n else np.empty(0, np.uint64)
     last = _CLASS[words.data[words.ends - 1]] if n else np.empty(0, np.uint64)
     shape = mix64(first | last << np.uint64(8) | size << np.uint64(16) | repeats.astype(np.uint64) << np.uint64(24) | np.uint64(1 << 40))
-    pair_first = np.maximum(words.first - np.arange(len(words.first)), 0)  # a text of m words has m - 1 pairs
-    counts = np.maximum(words.counts() - 1, 0)
+    counts = np.maximum(words.counts() - 1, 0)  # a text of m words has m - 1 pairs
     pair_first = np.concatenate([[0], np.cumsum(counts)])
     found = []
     for salt, (grams, begin) in enumerate(((h, words.first), (None, pair_first), (shape, words.first), (None, pair_first))):

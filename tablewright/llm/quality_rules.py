@@ -43,7 +43,8 @@ def _repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in the text.
 
     Each window becomes one long: its hash, with the low bits replaced by its
-    position. Sorted, equal windows are neighbours.
+    position. Sorted, equal windows are neighbours. Neighbours with equal hashes are compared
+    word by word; where one pair differs, the text's windows are sorted by their words instead.
     """
 
     def body(w: Column) -> Column:
@@ -57,11 +58,31 @@ def _repeated_words(words: Column) -> Column:
         windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), packed)).otherwise(F.array().cast("array<long>"))
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
+        def word(i: Column, k: int) -> Column:
+            return F.get(w, (i + k).cast("int"))
+
+        def exact(_: Column) -> Column:
+            each = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.cast("long").alias("i")))
+
+            def repeated(s: Column) -> Column:
+                same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+                twin = lambda x, i: same(x, F.get(s, i + 1)) | ((i > 0) & same(x, F.get(s, i - 1)))
+                return F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["i"]))
+
+            return _let(F.sort_array(each), repeated)
+
         def starts(s: Column) -> Column:
             top = lambda x: F.call_function("shiftright", x, bits)
             twin = lambda x, i: (top(x) == top(F.get(s, i + 1))) | ((i > 0) & (top(x) == top(F.get(s, i - 1))))
             kept = F.filter(s, lambda x, i: F.coalesce(twin(x, i), F.lit(False)))
-            return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(low)))
+
+            def checked(t: Column) -> Column:
+                place = lambda x: x.bitwiseAND(low)
+                differ = lambda x, y: ~((word(place(x), 0) == word(place(y), 0)) & (word(place(x), 1) == word(place(y), 1)) & (word(place(x), 2) == word(place(y), 2)))
+                pairs = F.transform(t, lambda x, i: F.coalesce((top(x) == top(F.get(t, i + 1))) & differ(x, F.get(t, i + 1)), F.lit(False)))
+                return F.when(F.exists(pairs, lambda x: x), exact(t)).otherwise(F.sort_array(F.transform(t, place)))
+
+            return _let(kept, checked)
 
         def covered(p: Column) -> Column:
             each = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
@@ -142,7 +163,7 @@ def quality_rules(
     max_repeat_percent: int = 50,
     min_class_chars: int = 200,
     max_class_distance: float = 0.3,
-    max_word_distance: float = 0.45,
+    max_word_distance: float = 0.26,
 ) -> DataFrame:
     """Counts, base rules and the verdict of every document.
 
@@ -151,8 +172,8 @@ def quality_rules(
     distance is null where a guard says that the text is too short for it, and a
     null distance keeps the document. Languages without a word list (and null)
     are compared by character classes only, with a reference pooled over their
-    documents. Null and empty texts have no words and fail the base rules.
-    Repeated rows get equal results. Other columns of ``docs`` are not read.
+    documents. Null and empty texts have no words and fail the base rules; very long texts are counted whole and exactly.
+    Repeated rows get equal results; an empty table gives an empty one. Other columns of ``docs`` are not read.
     """
     staged = Staged(docs.sparkSession, "quality-rules")
     found = staged.write(_features(docs, doc_id, text, lang), "features")

@@ -10,6 +10,7 @@ cross block boundaries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,43 @@ BLOCK_TOKENS = 1 << 16
 
 
 def read_flat_files(spark: SparkSession, path: str, *, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file_id, block_no, tokens) of raw files of little-endian ids, in any store Spark reads; a file has at most 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "length", "content")
+    """Blocks (file_id, block_no, tokens) of raw files of little-endian ids, of any size.
+
+    Spark lists the files; executors read byte ranges of them, spread over tasks by range, so that no
+    file is held whole. Paths must be local, mounted, or in a store that pyarrow opens. Empty files have one block of no
+    tokens; bytes after the last whole id are not read.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "length")
     size = width * block_tokens
-    last = F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / size)
-    blocks = files.select("file_id", "content", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block_no"))
-    return blocks.select("file_id", "block_no", F.substring("content", (F.col("block_no") * size + 1).cast("int"), F.lit(size)).alias("tokens"))
+    n = F.greatest(F.ceil(F.col("length") / size), F.lit(1))
+    blocks = files.select("file_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block_no"))
+    # neighbouring blocks of a file go to one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(files.agg(F.sum("length")).first()[0] or 0) >> 27)
+    blocks = blocks.repartitionByRange(tasks, "file_id", "block_no")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+        for batch in batches:
+            for uri, length, block in zip(*(column(batch, c).to_pylist() for c in ("file_id", "length", "block_no")), strict=True):
+                if uri != name:
+                    if file is not None:
+                        file.close()
+                    name, file = uri, _open(uri)
+                file.seek(block * size)
+                raw = file.read(min(size, max(length - block * size, 0)))
+                row = [[uri], [block], [raw[: len(raw) // width * width]]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.int64(), pa.binary()], strict=True)], ["file_id", "block_no", "tokens"])
+
+    return blocks.mapInArrow(read, "file_id string, block_no long, tokens binary")
+
+
+def _open(uri: str):
+    if uri.startswith("file:"):
+        return open(unquote(urlsplit(uri).path), "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
 
 
 def flat_blocks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -92,7 +124,7 @@ def count_tokens(blocks: DataFrame, *, separator: int = END_OF_DOCUMENT, width:
         for batch in batches:
             sizes, found = [], []
             for raw in column(batch, "tokens"):
-                ids = np.frombuffer(raw.as_buffer() or b"", dtype=kind)
+                ids = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", dtype=kind)
                 sizes.append(len(ids))
                 found.append(np.flatnonzero(ids == separator))
             yield pa.RecordBatch.from_arrays([column(batch, "file_id"), column(batch, "block_no"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names)

@@ -23,7 +23,8 @@ from .staging import Staged
 from .textcore import column
 
 SCALE = 64.0
-_LIMIT = 2**31
+_LIMIT = 2**62
+_CELLS = 1 << 23  # components of a block, whatever the dimension
 
 
 def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,8 +38,8 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         valid = (wrong[offsets[1:]] == wrong[offsets[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False)
         scaled = np.floor(np.where(bad, 0.0, flat) * SCALE)
         if np.abs(scaled).max(initial=0) >= _LIMIT:
-            raise ValueError("a component of a vector is 2**25 or more")
-        whole = scaled.astype("<i4")
+            raise ValueError("a component of a vector is 2**56 or more")
+        whole = scaled.astype("<i8")
         rows = np.flatnonzero(valid)
         out = pa.array([whole[offsets[i] : offsets[i + 1]].tobytes() for i in rows], pa.binary())
         yield pa.RecordBatch.from_arrays([column(batch, "vec_id").take(pa.array(rows)), out], ["vec_id", "q"])
@@ -46,10 +47,10 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matrix(raws: list[bytes]) -> np.ndarray:
     """Rows of whole numbers; shorter vectors are filled with zeros."""
-    width = max((len(r) // 4 for r in raws), default=0)
+    width = max((len(r) // 8 for r in raws), default=0)
     out = np.zeros((len(raws), width), dtype=np.int64)
     for k, raw in enumerate(raws):
-        out[k, : len(raw) // 4] = np.frombuffer(raw, "<i4")
+        out[k, : len(raw) // 8] = np.frombuffer(raw, "<i8")
     return out
 
 
@@ -88,8 +89,9 @@ class SlicedBlock:
         width = self.slices.shape[1]
         most = (1 << width) - 1
         # a negative factor takes the flipped slices: q * c = |q| * (most - c) - |q| * most
-        constant = int(query @ self.low[:dims]) - most * int(-query[query < 0].sum())
-        top = max(1, (most * int(np.abs(query).sum())).bit_length())
+        whole = [int(q) for q in query]  # sums may be wider than a machine word
+        constant = sum(q * int(c) for q, c in zip(whole, self.low, strict=False)) + most * sum(q for q in whole if q < 0)
+        top = max(1, (most * sum(map(abs, whole))).bit_length())
         total = np.zeros((top + 1, self.slices.shape[2]), dtype=np.uint64)
         carry, spare = np.zeros_like(total), np.zeros_like(total)
         low_part = np.empty((width, self.slices.shape[2]), dtype=np.uint64)
@@ -143,8 +145,12 @@ class SlicedBlock:
             tied = np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little"))[: k - n_sure]
             rows = np.concatenate([rows, tied])
         bits = (sums[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-        scores = (bits.astype(np.int64) << np.arange(len(sums), dtype=np.int64)[:, None]).sum(axis=0) + constant
-        return self.ids[rows], scores
+        if len(sums) < 62 and abs(constant) < 2**62:
+            return self.ids[rows], (bits.astype(np.int64) << np.arange(len(sums), dtype=np.int64)[:, None]).sum(axis=0) + constant
+        wide = [sum(1 << int(j) for j in np.flatnonzero(of)) + constant for of in bits.T]
+        if any(not -(2**63) <= x < 2**63 for x in wide):
+            raise OverflowError(f"an inner product of vector {own} does not fit a long")
+        return self.ids[rows], np.array(wide, dtype=np.int64)
 
 
 def top_k(
@@ -166,15 +172,18 @@ def top_k(
     or non-finite component and null ids take no part. Vectors of unequal length
     are compared as if filled with zeros. Every repeated candidate counts; a
     repeated query id is answered once, for the row with the smallest vector
-    bytes. Components of 2**25 or more raise an error. ``block_rows``,
-    ``query_rows`` and ``cells`` shape the grid and never the result.
+    bytes. An empty table gives an empty result. Sums are exact at any width: components of 2**56 or more, and a
+    score among the ``k`` largest that no long holds, raise an error. Other columns are not read. ``block_rows``,
+    ``query_rows`` and ``cells`` shape the grid and never the result; a block holds fewer rows of longer vectors.
     """
     staged = Staged(vectors.sparkSession, "topk")
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector")).where(F.col("vec_id").isNotNull())
     rows = staged.write(own.mapInArrow(_quantise, "vec_id long, q binary"), "rows")
     asked = (F.col("vec_id") % 20 == 0) if is_query is None else is_query
     queries = rows.where(asked).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n, m = rows.count(), queries.count()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.octet_length("q")).alias("most")).first()
+    n, m = size["n"], queries.count()
+    block_rows = max(64, min(block_rows, _CELLS // max(1, (size["most"] or 0) // 8)))
     c_blocks = max(1, -(-n // min(block_rows, max(1 << 14, n // 64))))
     q_blocks = max(1, -(-m // min(query_rows, max(64, m * c_blocks // cells))))
 
@@ -187,7 +196,7 @@ def top_k(
 
     def ask(group: pa.Table) -> pa.Table:
         vectors = _matrix(group["q"].to_pylist())
-        return pa.table({"qb": group["qb"][:1], "qids": [group["vec_id"].to_numpy().astype("<i8").tobytes()], "dims": pa.array([vectors.shape[1]], pa.int32()), "qs": [vectors.astype("<i4").tobytes()]})
+        return pa.table({"qb": group["qb"][:1], "qids": [group["vec_id"].to_numpy().astype("<i8").tobytes()], "dims": pa.array([vectors.shape[1]], pa.int32()), "qs": [vectors.astype("<i8").tobytes()]})
 
     block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     blocks = rows.withColumn("cb", block(c_blocks, 1)).groupBy("cb").applyInArrow(index, "cb int, ids binary, low binary, bits int, slices binary")
@@ -202,7 +211,7 @@ def top_k(
             bits = left["bits"][0].as_py()
             found = SlicedBlock(ids, low, slices.reshape(len(low), bits, -(-len(ids) // 64)))
             qids = np.frombuffer(right["qids"][0].as_py(), "<i8")
-            qs = np.frombuffer(right["qs"][0].as_py(), "<i4").reshape(len(qids), right["dims"][0].as_py()).astype(np.int64)
+            qs = np.frombuffer(right["qs"][0].as_py(), "<i8").reshape(len(qids), right["dims"][0].as_py())
             for qid, q in zip(qids, qs, strict=True):
                 best, scores = found.best(q, int(qid), k)
                 for to, x in zip(out, (np.full(len(best), qid), best, scores), strict=True):
