@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from enum import StrEnum
 
 from pyspark.sql import types as T
 
@@ -26,6 +27,17 @@ PROPERTIES = {
     "delta.dataSkippingNumIndexedCols": r"-1|0|[1-9][0-9]*",
     WIDENING: _BOOLEAN,
 }
+class Property(StrEnum):
+    """The table properties that declarations manage."""
+
+    COLUMN_MAPPING_MODE = MAPPING
+    CHANGE_DATA_FEED = FEED
+    DELETED_FILE_RETENTION = "delta.deletedFileRetentionDuration"
+    LOG_RETENTION = "delta.logRetentionDuration"
+    DATA_SKIPPING_COLUMNS = "delta.dataSkippingNumIndexedCols"
+    TYPE_WIDENING = WIDENING
+
+
 #: Keys whose value may only change as listed; a removal is a change to None.
 TRANSITIONS = {MAPPING: {("none", "name")}}
 _RESERVED = ("_change_type", "_commit_version", "_commit_timestamp")

@@ -7,7 +7,10 @@ in which differences are reported.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .declare import MINIMUM_SCOPE
@@ -33,24 +36,50 @@ Relations = dict[str, DataFrame]
 
 
 def _emit(df: DataFrame, action: str, stream: int, pos: Column, **fields: Column) -> DataFrame:
-    aspect = PHASES.get(action) or UNRESOLVABLE[action]
-    return df.select(
-        "table_id", F.lit(action).alias("action"), F.lit(action in PHASES).alias("closes"), F.lit(aspect).alias("aspect"),
-        F.lit(list(PHASES).index(action) + 1 if action in PHASES else None).cast("int").alias("phase"), F.lit(stream).alias("stream"), pos.cast("long").alias("pos"),
-        *[fields.get(f, F.lit(None)).cast(t).alias(f) for f, t in FIELDS.items()])
+    """The differences of one kind, with the fields that the kind has."""
+    return df.select("table_id", F.lit(action).alias("action"), F.lit(stream).alias("stream"), pos.cast("long").alias("pos"), *[v.alias(f) for f, v in fields.items()])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
+    """All kinds together; fields that a kind lacks are null."""
     out = parts[0]
     for more in parts[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(more, allowMissingColumns=True)
     return out
 
 
+def _complete(found: DataFrame) -> DataFrame:
+    """Every field in its type and place, with what follows from the action."""
+    lookup = lambda of: ", ".join(f"'{k}', {v}" for k, v in of.items())
+    aspects = lookup({k: f"'{v}'" for k, v in (PHASES | UNRESOLVABLE).items()})
+    phases = lookup({k: i for i, k in enumerate(PHASES, 1)})
+    fields = [f"CAST({f if f in found.columns else 'NULL'} AS {t}) AS {f}" for f, t in FIELDS.items()]
+    return found.selectExpr(
+        "table_id", "action", f"map_contains_key(map({phases}), action) AS closes", f"map({aspects})[action] AS aspect", f"CAST(map({phases})[action] AS INT) AS phase", "stream", "pos", *fields)
+
+
+# Plans over metadata are wide and their data is small: one partition, and no time spent on compiling or re-planning them.
+_SMALL = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+
+
+@contextmanager
+def small_plans(spark: SparkSession) -> Iterator[None]:
+    """Settings for actions on metadata; the session's own come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _SMALL}
+    try:
+        for k, v in _SMALL.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows as local data. Metadata of declared tables fits the driver, and each
     step of a long derivation is then planned on its own, in linear time."""
-    return df.sparkSession.createDataFrame(df.toArrow())
+    with small_plans(df.sparkSession):
+        return df.sparkSession.createDataFrame(df.toArrow())
 
 
 def _as(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("table_id",)) -> DataFrame:
@@ -207,4 +236,4 @@ def differences(d: Relations, o: Relations) -> DataFrame:
         [*_layout_differences(d, o, present, hints), *_constraint_differences(d, o, present)],
         _metadata_differences(d, o, present),
     ]
-    return settle(_union([settle(_union(parts)) for parts in groups]))
+    return settle(_complete(_union([settle(_union(parts)) for parts in groups])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 from datetime import datetime
+from enum import StrEnum
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,6 +30,70 @@ class Failure:
         return {"phase": self.phase, "type": self.type, "message": self.message, **self.extra}
 
 
+class _OfPhase(Failure):
+    """A failure whose phase and type name follow from its class."""
+
+    PHASE = ""
+
+    def __init__(self, message: str, **extra):
+        super().__init__(self.PHASE, type(self).__name__, message, extra)
+
+
+class ForeignKeyFailure(_OfPhase):
+    PHASE = "FOREIGN_KEY"
+
+
+class ReadFailure(_OfPhase):
+    PHASE = "READ"
+
+
+class ValidationFailure(_OfPhase):
+    PHASE = "PLANNING"
+
+
+class ExecutionFailure(_OfPhase):
+    PHASE = "EXECUTION"
+
+
+class FailurePhase(StrEnum):
+    FOREIGN_KEY = "FOREIGN_KEY"
+    READ = "READ"
+    PLANNING = "PLANNING"
+    EXECUTION = "EXECUTION"
+
+
+class TableRunStatus(StrEnum):
+    SUCCESS = "SUCCESS"
+    FOREIGN_KEY_FAILED = "FOREIGN_KEY_FAILED"
+    READ_FAILED = "READ_FAILED"
+    PLANNING_FAILED = "PLANNING_FAILED"
+    EXECUTION_FAILED = "EXECUTION_FAILED"
+
+
+class TableChangeState(StrEnum):
+    UNCHANGED = "unchanged"
+    NOT_PLANNED = "not planned"
+    PLANNED = "planned"
+    NOT_APPLIED = "not applied"
+    PARTIALLY_APPLIED = "partially applied"
+    APPLIED = "applied"
+
+
+def render_report(report: SyncReport) -> str:
+    """The status grid, failures and footer as text."""
+    return report.render()
+
+
+def render_diff(report: SyncReport) -> str:
+    """Every table's changes as text."""
+    return report.render_diff()
+
+
+def difference_lines(row: dict, table) -> list[str]:
+    """One difference as the diff view states it."""
+    return [f"{SYMBOLS[o]} {s} {d}".rstrip() for _, o, s, d in change_entries(row, table)]
+
+
 def head(message: str, lines: int = 5) -> str:
     return "\n".join(message.split("\n")[:lines])
 
@@ -56,7 +121,7 @@ def change_entries(row: dict, table) -> list[tuple[str, str, str, str]]:
 
             out = [("columns", "add", c.name, typed(display(c.type), c.nullable)) for c in table.columns]
             if table.primary_key:
-                out.append(("keys", "add", f"primary key {table.primary_key_name or _listed(table.primary_key)}", ""))
+                out.append(("keys", "add", f"primary key {table.primary_key_name or _listed(table.primary_key)}", _listed(table.primary_key)))
             if table.clustered_by:
                 out.append(("clustering", "add", "clustering", _listed(table.clustered_by)))
             if table.partitioned_by:
@@ -97,12 +162,11 @@ def change_entries(row: dict, table) -> list[tuple[str, str, str, str]]:
         case "UnsetColumnTag":
             return [("tags", "remove", f"column {row['col']}.{row['tag']}", "")]
         case "SetPrimaryKey":
-            return [("keys", "add", f"primary key {row['name'] or _listed(row['cols'])}", "")]
+            return [("keys", "add", f"primary key {row['name'] or _listed(row['cols'])}", _listed(row["cols"]))]
         case "DropPrimaryKey":
             return [("keys", "remove", f"primary key {row['name'] or ''}".rstrip(), "")]
         case "SetForeignKey":
-            label = f"foreign key {row['name']}" if row["name"] else "foreign key"
-            return [("keys", "add", label, f"{_listed(row['cols'])} → {row['parent']}")]
+            return [("keys", "add", f"foreign key {row['name'] or _listed(row['cols'])}", f"{_listed(row['cols'])} → {row['parent']}")]
         case "DropForeignKey":
             return [("keys", "remove", f"foreign key {row['name']}", "")]
         case "AlterClustering":

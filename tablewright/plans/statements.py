@@ -35,9 +35,9 @@ def _statement() -> Column:
     alter = F.concat(F.lit("ALTER TABLE "), table, F.lit(" "))
     annotate = F.concat(F.when(F.col("relation_kind") == "STREAMING_TABLE", "ALTER STREAMING TABLE ").otherwise("ALTER TABLE "), table, F.lit(" "))
     named = F.when(F.col("name").isNotNull(), F.concat(F.lit("CONSTRAINT "), backtick(F.col("name")), F.lit(" "))).otherwise("")
-    feature = F.lit("")
+    feature = F.col("key")
     for plain, sent in _ALIASES.items():
-        feature = F.when(F.col("key") == plain, sent).otherwise(F.col("key"))
+        feature = F.when(F.col("key") == plain, sent).otherwise(feature)
     text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     forms = {
         "CreateTable": F.col("create_sql"),

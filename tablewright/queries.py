@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import estate_queries as estate
 from .functions import types as kinds
 from .operators.declare import SCOPES, BoundKey, Column, ForeignKey, Table
 from .operators.differ import PHASES, differences
@@ -466,7 +467,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         planned_star, observed_columns, diff_columns, diff_tags, diff_properties, diff_keys, diff_layout, required_features, policy_failures, plan_order, plan_statements,
         widening_matrix, info_primary_key, info_foreign_keys, info_inbound_keys, fk_verdicts, blocked_tables, dependency_depth, run_report, rows_after_rename, rows_after_add,
         rows_after_drop, rows_after_widen, rows_after_all, schema_conformed_read)
-}
+} | estate.QUERIES
 
 _K = "WITH RECURSIVE "
 ORACLES: dict[str, str] = {
@@ -496,4 +497,4 @@ ORACLES: dict[str, str] = {
     "rows_after_widen": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem",
     "rows_after_all": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS extra FROM lineitem",
     "schema_conformed_read": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-}
+} | estate.ORACLES

@@ -21,9 +21,9 @@ from pyspark.sql.types import (
     VariantType as Variant,
 )
 
-from .operators.declare import SELF, Column, ForeignKey, Table
+from .operators.declare import SELF, Column, ForeignKey, Property, Table
 
 __all__ = [
-    "SELF", "Array", "Binary", "Boolean", "Byte", "Column", "Date", "Decimal", "Double", "Float", "ForeignKey", "Integer", "Long", "Map", "Short", "String",
+    "SELF", "Array", "Binary", "Boolean", "Byte", "Column", "Date", "Decimal", "Double", "Float", "ForeignKey", "Integer", "Long", "Map", "Property", "Short", "String",
     "Struct", "StructField", "Table", "Timestamp", "TimestampNtz", "Variant",
 ]

@@ -52,7 +52,38 @@ def column_tags(tags: DataFrame, catalog: str, schema: str, table: str) -> DataF
     return tags.where((F.lower("catalog_name") == catalog) & (F.lower("schema_name") == schema) & (F.lower("table_name") == table)).select("column_name", "tag_name", "tag_value")
 
 
-def collect_keys(rows: DataFrame, *group: str) -> DataFrame:
-    """One row per constraint, its columns as a list in order."""
-    columns = F.transform(F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name"))), lambda x: x["column_name"])
-    return rows.groupBy("constraint_name", *group).agg(columns.alias("columns"))
+def attached(r: dict[str, DataFrame], table_ids: list[str]) -> DataFrame:
+    """Keys and tags of many tables at once: table_id, kind, name, ord, a, b and other.
+
+    ``a`` is a column, ``b`` a referenced column or a tag's value, ``other`` the table at the other end of a key.
+    Every relation is scanned once or twice, whatever the number of tables.
+    """
+    spark = r["table_constraints"].sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in table_ids], "table_id string"))  # the declared tables
+    dotted = lambda *parts: F.lower(F.concat_ws(".", *parts))
+    owner = dotted("table_catalog", "table_schema", "table_name")
+    none = F.lit(None).cast("string")
+    shape = lambda df, kind, name, place, a, b, other: df.select(
+        "table_id", F.lit(kind).alias("kind"), name.alias("name"), place.cast("long").alias("ord"), a.cast("string").alias("a"), b.cast("string").alias("b"), other.cast("string").alias("other"))
+    c = F.col
+    constraints = r["table_constraints"].select(*_KEY, "constraint_type", owner.alias("table_id"))
+    primary = constraints.where(c("constraint_type") == "PRIMARY KEY").join(wanted, "table_id")
+    used = r["key_column_usage"].select(*_KEY, "column_name", "ordinal_position", "position_in_unique_constraint")
+    u = [f"u_{k}" for k in _KEY]
+    edges = r["referential_constraints"].select(*_KEY, *[c(f"unique_{k}").alias(f"u_{k}") for k in _KEY])
+    as_unique = lambda df, *more: df.select(*[c(k).alias(f"u_{k}") for k in _KEY], *more)
+    parents = as_unique(used, c("column_name").alias("referenced"), c("ordinal_position").alias("position_in_unique_constraint"))
+    ends = as_unique(constraints, c("table_id").alias("other"))
+    local = constraints.join(wanted, "table_id").select(*_KEY, "table_id").join(used, _KEY)
+    foreign = edges.join(local, _KEY).join(parents, [*u, "position_in_unique_constraint"]).join(ends, u)
+    inbound = edges.join(as_unique(primary, "table_id"), u).join(constraints.select(*_KEY, c("table_id").alias("other")), _KEY)
+    tagged = dotted("catalog_name", "schema_name", "table_name").alias("table_id")
+    by_table = r["table_tags"].select(tagged, "tag_name", "tag_value").join(wanted, "table_id")
+    by_column = r["column_tags"].select(tagged, "column_name", "tag_name", "tag_value").join(wanted, "table_id")
+    zero = F.lit(0)
+    return (
+        shape(primary.join(used, _KEY), "primary_key", c("constraint_name"), c("ordinal_position"), c("column_name"), none, none)
+        .unionByName(shape(foreign, "foreign_key", c("constraint_name"), c("ordinal_position"), c("column_name"), c("referenced"), c("other")))
+        .unionByName(shape(inbound, "inbound", c("constraint_name"), zero, none, none, c("other")))
+        .unionByName(shape(by_table, "table_tag", c("tag_name"), zero, none, c("tag_value"), none))
+        .unionByName(shape(by_column, "column_tag", c("tag_name"), zero, c("column_name"), c("tag_value"), none)))

@@ -14,7 +14,8 @@ from tablewright.plans.graph import blocked, components, dependency_order
 from tablewright.plans.statements import plan
 from tablewright.queries import _ALL_TYPES
 from tablewright.schema import Array, Date, Decimal, Double, Float, Integer, Long, String, Struct, StructField, TimestampNtz, Variant
-from tablewright.sources.catalog import SparkCatalog, condition, run_statement
+from tablewright.errors import condition
+from tablewright.sources.catalog import SparkCatalog, run_statement
 from tablewright.sources.describe import MetadataError, parse_description
 from tablewright.sources.files import workspace
 from tablewright.sources.local_store import Conflict, LocalStore
@@ -87,7 +88,7 @@ WANTED = {
     "renkey": [("RenameColumn", "id"), ("DropPrimaryKey", "pk"), ("SetPrimaryKey", "key")],
     "both": [("ColumnRenameConflict", "name")],
     "types": [("EnableTableFeature", "timestampNtz"), ("AlterColumnType", "a"), ("AlterColumnType", "b"), ("AlterColumnType", "c"), ("AlterColumnType", "d")],
-    "tight": [("SetColumnNullability", "id"), ("AddColumn", "b")] and None,
+
     "loose": [("SetColumnNullability", "id")],
     "drop": [("UnsetColumnTag", "name.x"), ("DropColumn", "name")],
     "part": [("PartitioningChanged", "")],
