@@ -462,6 +462,43 @@ def planned_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safe.join(F.broadcast(places), "table_id").select("table_ord", "table_id", "stmt_ord", "action", "statement").orderBy("table_ord", "stmt_ord")
 
 
+# what the declarations above change besides columns, and the phase of every action
+_OTHER_CHANGES = [
+    ("region", "SetTableTag", "owner"), ("region", "UnsetTableTag", "old"), ("region", "SetColumnTag", "r_name.tier"), ("region", "SetColumnComment", "r_name"), ("region", "SetTableComment", ""),
+    ("nation", "SetProperty", "delta.enableChangeDataFeed"), ("customer", "DropForeignKey", "old_fk"), ("customer", "AlterClustering", ""), ("customer", "SetColumnComment", "c_name"),
+    ("customer", "SetColumnComment", "c_mktsegment"), ("customer", "SetPrimaryKey", "c_custkey"), ("customer", "SetForeignKey", "customer_nation"), ("orders", "CreateTable", ""), ("orders", "SetForeignKey", "o_custkey"),
+    ("lineitem", "EnableTableFeature", "timestampNtz"), ("lineitem", "SetForeignKey", "l_orderkey"),
+]
+_IN_ORDER = ["CreateTable", "EnableTableFeature", "SetProperty", "UnsetProperty", "SetTableTag", "UnsetTableTag", "DropForeignKey", "DropPrimaryKey", "RenameColumn", "AddColumn", "AlterColumnType", "AlterClustering",
+             "SetColumnTag", "UnsetColumnTag", "DropColumn", "SetColumnComment", "SetTableComment", "SetColumnNullability", "SetPrimaryKey", "SetForeignKey"]
+_PLAN_ORDER = f"""
+WITH facts(t, action, subject) AS (VALUES {", ".join(f"({_value(t)}, {_value(a)}, {_value(x)})" for t, a, x in _OTHER_CHANGES)}), phases(action, n) AS (VALUES {", ".join(f"('{a}', {i})" for i, a in enumerate(_IN_ORDER))}
+), everything AS (
+  SELECT 'lake.sales.' || t AS table_id, action, subject FROM facts UNION ALL SELECT table_id, action, subject FROM ({_diff_columns_sql()}) WHERE action <> 'ColumnCaseDrift'
+)
+SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id ORDER BY n, lower(subject), subject) AS INTEGER) AS stmt_ord, action, subject FROM everything JOIN phases USING (action)
+"""
+# the plan of the star schema: the text behind ALTER TABLE and the table's name, or the whole statement
+_STAR_PLAN = [
+    ("region", "SetTableTag", "SET TAGS ('owner'='core')"), ("region", "UnsetTableTag", "UNSET TAGS ('old')"), ("region", "SetColumnTag", "ALTER COLUMN `r_name` SET TAGS ('tier'='gold')"),
+    ("region", "SetColumnComment", "ALTER COLUMN `r_name` COMMENT 'region''s name'"), ("region", "SetTableComment", "COMMENT ON TABLE `lake`.`sales`.`region` IS 'regions'"),
+    ("nation", "SetProperty", "SET TBLPROPERTIES ('delta.enableChangeDataFeed'='true')"), ("nation", "RenameColumn", "RENAME COLUMN `n_name` TO `n_title`"),
+    ("customer", "DropForeignKey", "DROP CONSTRAINT IF EXISTS `old_fk`"), ("customer", "AddColumn", "ADD COLUMN `c_since` DATE COMMENT 'first order'"), ("customer", "AlterClustering", "CLUSTER BY (`c_nationkey`)"),
+    ("customer", "SetColumnComment", "ALTER COLUMN `c_mktsegment` COMMENT 'segment'"), ("customer", "SetColumnComment", "ALTER COLUMN `c_name` COMMENT ''"), ("customer", "SetPrimaryKey", "ADD PRIMARY KEY (`c_custkey`)"),
+    ("customer", "SetForeignKey", "ADD CONSTRAINT `customer_nation` FOREIGN KEY (`c_nationkey`) REFERENCES `lake`.`sales`.`nation` (`n_nationkey`)"),
+    ("orders", "CreateTable", "CREATE TABLE `lake`.`sales`.`orders` (`o_orderkey` BIGINT NOT NULL, `o_custkey` BIGINT, `o_orderstatus` STRING, `o_totalprice` DOUBLE, `o_orderdate` TIMESTAMP_NTZ, `o_clerk` STRING, "
+     "PRIMARY KEY (`o_orderkey`)) USING delta TBLPROPERTIES ('delta.columnMapping.mode'='name')"),
+    ("orders", "SetForeignKey", "ADD FOREIGN KEY (`o_custkey`) REFERENCES `lake`.`sales`.`customer` (`c_custkey`)"),
+]
+_PLANNED_STAR = f"""
+WITH keys(child, parent) AS (VALUES ('nation', 'region'), ('customer', 'nation'), ('orders', 'customer'), ('lineitem', 'orders')), plan(n, t, action, tail) AS (VALUES
+  {", ".join(f"({i}, {_value(t)}, {_value(a)}, {_value(x)})" for i, (t, a, x) in enumerate(_STAR_PLAN))}
+), depth(t, d) AS (SELECT 'region', 0 UNION ALL SELECT child, d + 1 FROM depth JOIN keys ON parent = t)
+SELECT CAST(d AS INTEGER) AS table_ord, 'lake.sales.' || t AS table_id, CAST(row_number() OVER (PARTITION BY t ORDER BY n) AS INTEGER) AS stmt_ord, action,
+  CASE WHEN action IN ('CreateTable', 'SetTableComment') THEN '' ELSE 'ALTER TABLE `lake`.`sales`.`' || t || '` ' END || tail AS statement
+FROM plan JOIN depth USING (t)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         planned_star, observed_columns, diff_columns, diff_tags, diff_properties, diff_keys, diff_layout, required_features, policy_failures, plan_order, plan_statements,
@@ -471,6 +508,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _K = "WITH RECURSIVE "
 ORACLES: dict[str, str] = {
+    "plan_order": _PLAN_ORDER,
+    "planned_star": _PLANNED_STAR.replace("WITH keys", "WITH RECURSIVE keys", 1),
     "observed_columns": _described(STAR),
     "diff_columns": _diff_columns_sql(),
     "policy_failures": f"SELECT table_id, 'ColumnSpellingMustMatchCatalog' AS rule, subject FROM ({_diff_columns_sql()}) WHERE action = 'ColumnCaseDrift'",
