@@ -421,7 +421,7 @@ def plain_lm(texts, held, vocabulary, bits):
         total = k * 0x9E3779B97F4A7C15 & mask
         for i, v in enumerate(values):
             total = (total + v) * (0xC2B2AE3D27D4EB4F + 2 * i) & mask
-        return mix(total) >> 32
+        return total >> 32
 
     word_hash = lambda w: mix(spelled_hash(w, len(w)))
     learned = [k for k in words if k not in held]
