@@ -365,14 +365,14 @@ _RUN.append(_table("stray", ID, Column("up", Integer()), schema="x", foreign_key
 
 
 def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status and change state of every table after a run that fails in every phase."""
+    """Status and change state of every table after a run that fails in every phase; -1 statements applied where nothing was executed."""
     states = [_seen(t.name, SEEN_ID, schema="x", primary_key=("pk", ["id"]) if t.name == "half" else None) for t in _RUN if t.name != "unread"]
     backend = Fixed([*states, ("lake.x.unread", ReadError("Unreadable", "no such place"))], {"lake.x.half": 2, "lake.x.never": 1})
     try:
         report = Engine(spark, backend, backend).sync(*_RUN)
     except SyncFailed as failed:
         report = failed.report
-    rows = [(t.name, t.status, t.change_state(False), len(t.statements), t.applied, t.bucket, t.failures[0].phase if t.failures else None) for t in report.tables]
+    rows = [(t.name, t.status, t.change_state(False), len(t.statements), -1 if t.applied is None else t.applied, t.bucket, t.failures[0].phase if t.failures else None) for t in report.tables]
     return spark.createDataFrame(rows, "table_id string, status string, change_state string, planned int, applied int, bucket string, phase string")
 
 
@@ -384,7 +384,7 @@ run(t, planned, unread, refused, stray, parent, fails_at) AS (VALUES ('ok', 1, f
 ), judged AS (SELECT t, planned, CASE WHEN stray OR blocked THEN 'FOREIGN_KEY' WHEN unread THEN 'READ' WHEN refused THEN 'PLANNING' WHEN fails_at IS NOT NULL THEN 'EXECUTION' END AS phase,
   CASE WHEN stray OR blocked OR planned = 0 THEN NULL WHEN fails_at IS NOT NULL THEN fails_at - 1 ELSE planned END AS applied FROM held
 ), outcome AS (SELECT 'lake.x.' || t AS table_id, coalesce(phase || '_FAILED', 'SUCCESS') AS status, CASE WHEN planned = 0 THEN CASE WHEN phase IS NULL THEN 'unchanged' ELSE 'not planned' END
-  WHEN coalesce(applied, 0) = 0 THEN 'not applied' WHEN applied = planned THEN 'applied' ELSE 'partially applied' END AS change_state, CAST(planned AS INTEGER) AS planned, CAST(applied AS INTEGER) AS applied,
+  WHEN coalesce(applied, 0) = 0 THEN 'not applied' WHEN applied = planned THEN 'applied' ELSE 'partially applied' END AS change_state, CAST(planned AS INTEGER) AS planned, CAST(coalesce(applied, -1) AS INTEGER) AS applied,
   CASE WHEN phase IS NOT NULL THEN 'failed' WHEN planned > 0 THEN 'changed' ELSE 'unchanged' END AS bucket, phase FROM judged)
 """
 OUTCOMES_SQL = f"WITH {_RUN_FACTS} SELECT * FROM outcome"
