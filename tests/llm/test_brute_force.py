@@ -427,7 +427,7 @@ def plain_lm(texts, held, vocabulary, bits):
     learned = [k for k in words if k not in held]
     counts = collections.Counter(w for k in learned for w in words[k])
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    top = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], signed(word_hash(w))))[:vocabulary]
+    top = sorted((w for w, n in counts.items() if n > 3), key=lambda w: (-counts[w], signed(word_hash(w))))[:vocabulary]
     by_hash = sorted(top, key=word_hash)
     place = {w: i for i, w in enumerate(by_hash)}
     very = set(sorted(top, key=lambda w: (-counts[w], word_hash(w)))[:64])
